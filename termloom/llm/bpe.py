@@ -182,7 +182,13 @@ class TextEncoder(dict):
 
     def _plain(self, chunk: str) -> bytes:
         if chunk.isascii() or max(chunk) <= "ɏ":  # up to there, NFC changes nothing
-            words = self.SPLIT.findall(chunk.lower())
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                words = [chunk]
+            elif chunk[:-1].isalpha() and chunk[-1] in ".,":
+                words = [chunk[:-1], chunk[-1]]
+            else:
+                words = self.SPLIT.findall(chunk)
         else:  # the library's own tables decide what a letter is
             library = self.vocabulary.library
             pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))
@@ -194,10 +200,13 @@ class TextEncoder(dict):
         if known is None:
             if len(self.words) >= CACHE_ENTRIES:
                 self.words.clear()
-            ids = self.vocabulary.encode_word(word.encode())
+            ids = self.encode_word(word)
             known = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return known
 
+    def encode_word(self, word: str) -> list[int]:
+        return self.vocabulary.encode_word(word.encode())
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 

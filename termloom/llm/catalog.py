@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, quality
+from . import bpe, chat, decontaminate, licenses, quality, wavelet
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,9 +58,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def queries() -> dict:
     return {
         "op2_bpe": op2_bpe,
+        "op3_wavelet": op3_wavelet,
         "op4_chat": op4_chat,
         "op5_quality": op5_quality,
         "op6_licenses": op6_licenses,
