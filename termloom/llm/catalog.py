@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, quality, wavelet
+from . import bpe, chat, decontaminate, licenses, near, quality, wavelet
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,10 @@ def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_bpe": op2_bpe,
@@ -70,6 +74,7 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op6_licenses": op6_licenses,
         "op7_decontaminate": op7_decontaminate,
+        "op10_near": op10_near,
     }
 
 
