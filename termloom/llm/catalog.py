@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, near, quality, wavelet
+from . import bpe, chat, decontaminate, licenses, near, ppm, quality, wavelet
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -66,8 +66,13 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"))
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op1_ppm": op1_ppm,
         "op2_bpe": op2_bpe,
         "op3_wavelet": op3_wavelet,
         "op4_chat": op4_chat,
