@@ -1,19 +1,19 @@
 """Prediction by partial matching over bytes, learnt from a corpus and spread out.
 
-The model is a trie of byte contexts up to order 4 with the counts of the bytes that
+The model is a trie of byte contexts up to order 5 with the counts of the bytes that
 followed. A byte's probability is taken from the longest context that was seen; if the
-byte did not follow it, an escape (estimated by the number of different bytes, method C)
-leads to the next shorter context, where the bytes already ruled out are excluded. Below
+byte did not follow it, an escape (half a count for each different byte, method D) leads to the next shorter context, where the bytes already ruled out are excluded. Below
 order 0 all symbols left are alike. A text ends with an end symbol.
 
-Given the model, a byte's cost depends on it and the 4 bytes before, so the corpus is
+Given the model, a byte's cost depends on it and the 5 bytes before, so the corpus is
 scored in four steps, none of which holds the model or the corpus in one place:
 
-1. rows are dealt into blocks by a hash; each block gives its distinct 5-byte strings
+1. rows are dealt into blocks by a hash; each block gives its distinct 6-byte strings
    and words with their counts in training texts (a shared table, pre-aggregated);
-2. counts are summed by string. The contexts of orders 2 to 4 of a string end in the same
-   two bytes, so costs are worked out in one group for each such pair: at most 256 ** 3
-   strings. Orders 0 and 1, at most 65,536 counts, go to every task;
+2. counts are summed by string. The contexts of orders 3 to 5 of a string end in the same
+   three bytes, so its costs need only the strings that share these: at most 256 ** 3, and
+   groups are made of whole such sets. Orders 0 to 2, at most 256 ** 3 counts (some tens
+   of thousands in text), go to every task;
 3. each block gets the costs of its own strings back;
 4. texts are scored block by block, in slices of bounded size.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, whole_text
 
-ORDER = 4
+ORDER = 5
 END, PAD = b"\xff", b"\xfe"  # no UTF-8 text holds these bytes
 SYMBOLS = 255  # all bytes but the padding
 SLICE_BYTES = 2_000_000
@@ -59,11 +59,11 @@ class ByteTrie:
             if not counts:
                 continue
             left = {s: n for s, n in counts.items() if s not in excluded}
-            total = sum(left.values()) + len(left)
+            total = sum(left.values())
             if symbol in left:
-                return out + math.log10(left[symbol] / total)
+                return out + math.log10((left[symbol] - 0.5) / total)
             if left:
-                out += math.log10(len(left) / total)
+                out += math.log10(0.5 * len(left) / total)
             excluded = set(counts)
         return out - math.log10(SYMBOLS - len(excluded))
 
@@ -80,7 +80,7 @@ class ByteTrie:
 
 
 def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-byte strings that end at each byte of padded texts, as numbers, and where
+    """The 6-byte strings that end at each byte of padded texts, as numbers, and where
     each text starts. A padding target has the number -1."""
     parts = [PAD * ORDER + t.translate(_LOWER) + END for t in texts]
     data = b"\0" * 7 + b"".join(parts)
@@ -145,66 +145,77 @@ def block_counts(block: pa.Table) -> pa.Table:
     )
 
 
-def low_orders(pairs: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Orders 1 and 0 as dense arrays, from the training counts of two-byte strings."""
+def low_orders(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Orders 2 to 0 from the training counts of three-byte strings, in key order. What is
+    kept by context has one place for each possible context."""
     one = np.zeros((256, 256), np.int64)
-    one[pairs >> 8, pairs & 255] = counts
+    np.add.at(one, (keys >> 8 & 255, keys & 255), counts)
     zero = one.sum(axis=0)
-    return {"one": one, "zero": zero, "zero_after_one": (one > 0) @ zero, "distinct_one": (one > 0).sum(axis=1)}
+    return {
+        "keys": keys,
+        "counts": counts,
+        "total_2": np.bincount(keys >> 8, counts, 1 << 16),
+        "kinds_2": np.bincount(keys >> 8, minlength=1 << 16),
+        "after_2": np.bincount(keys >> 8, one[keys >> 8 & 255, keys & 255], 1 << 16),
+        "one": one,
+        "total_1": one.sum(axis=1),
+        "kinds_1": (one > 0).sum(axis=1),
+        "after_1": (one > 0) @ zero,
+        "zero": zero,
+    }
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values by key, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
 
 def group_costs(grams: np.ndarray, n: np.ndarray, low: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 costs of all strings whose contexts end in the same two bytes."""
+    """log10 costs of strings, given all strings whose contexts end in the same three
+    bytes as theirs, and the low orders."""
     cost = np.zeros(len(grams))
-    open_ = np.ones(len(grams), bool)
-    out_total = np.zeros(len(grams))  # count and number of the symbols excluded, by string
+    waiting = np.ones(len(grams), bool)
+    out_total = np.zeros(len(grams))  # count, and number, of the symbols excluded
     out_kinds = np.zeros(len(grams))
-    keys, counts = grams[n > 0], n[n > 0]
-    keys, counts = _merge([(keys, counts)])
-    for k in (4, 3, 2):
+
+    def level(count, total, kinds, after):
+        """One order: the string's count, its context's total and number of symbols, and
+        what these symbols count for one order below."""
+        seen = (total > 0) & waiting
+        hit = seen & (count > 0)
+        t, u = total - out_total, kinds - out_kinds
+        cost[hit] += np.log10((count[hit] - 0.5) / t[hit])
+        miss = seen & ~hit
+        paid = miss & (u > 0)
+        cost[paid] += np.log10(0.5 * u[paid] / t[paid])
+        waiting[hit] = False
+        out_total[miss], out_kinds[miss] = after[miss], kinds[miss]
+
+    keys, counts = _merge([(grams[n > 0], n[n > 0])])
+    for k in range(ORDER, 2, -1):
+        if k > 3:
+            below, below_counts = _merge([(keys & _MASK[k - 1], counts)])
+        else:
+            below, below_counts = low["keys"], low["counts"]
         contexts, first = np.unique(keys >> 8, return_index=True)
         if len(contexts):
             total = np.add.reduceat(counts, first)
             kinds = np.diff(np.r_[first, len(keys)])
-            # what these symbols count for one order below
-            if k > 2:
-                below, below_counts = _merge([(keys & _MASK[k - 1], counts)])
-                shorter = below_counts[np.searchsorted(below, keys & _MASK[k - 1])]
-            else:
-                shorter = low["one"][keys >> 8 & 255, keys & 255]
-            excluded = np.add.reduceat(shorter, first)
+            after = np.add.reduceat(_look_up(below, below_counts, keys & _MASK[k - 1]), first)
             wanted = grams & _MASK[k]
             at = np.minimum(np.searchsorted(contexts, wanted >> 8), len(contexts) - 1)
-            seen = (contexts[at] == wanted >> 8) & open_
-            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = seen & (keys[place] == wanted)
-            t, u = total[at] - out_total, kinds[at] - out_kinds
-            cost[hit] += np.log10(counts[place][hit] / (t + u)[hit])
-            miss = seen & ~hit
-            paid = miss & (u > 0)
-            cost[paid] += np.log10(u[paid] / (t + u)[paid])
-            open_ &= ~hit
-            out_total[miss], out_kinds[miss] = excluded[at][miss], kinds[at][miss]
-            if k > 2:
-                keys, counts = below, below_counts
-    symbol, before = grams & 255, grams >> 8 & 255
-    zero = low["zero"]
-    for counts_, total_, kinds_, after_total, after_kinds in (
-        (low["one"][before, symbol], low["one"].sum(axis=1)[before], low["distinct_one"][before], low["zero_after_one"][before], low["distinct_one"][before]),
-        (zero[symbol], np.full(len(grams), zero.sum()), np.full(len(grams), (zero > 0).sum()), None, np.full(len(grams), (zero > 0).sum())),
-    ):
-        seen = (total_ > 0) & open_
-        hit = seen & (counts_ > 0)
-        t, u = total_ - out_total, kinds_ - out_kinds
-        cost[hit] += np.log10(counts_[hit] / (t + u)[hit])
-        miss = seen & ~hit
-        paid = miss & (u > 0)
-        cost[paid] += np.log10(u[paid] / (t + u)[paid])
-        open_ &= ~hit
-        out_kinds[miss] = after_kinds[miss]
-        if after_total is not None:
-            out_total[miss] = after_total[miss]
-    cost[open_] -= np.log10(SYMBOLS - out_kinds[open_])
+            known = contexts[at] == wanted >> 8
+            level(_look_up(keys, counts, wanted), np.where(known, total[at], 0), kinds[at], after[at])
+        keys, counts = below, below_counts
+    two, one, symbol = grams >> 8 & 0xFFFF, grams >> 8 & 0xFF, grams & 0xFF
+    level(_look_up(keys, counts, grams & _MASK[2]), low["total_2"][two], low["kinds_2"][two], low["after_2"][two])
+    level(low["one"][one, symbol], low["total_1"][one], low["kinds_1"][one], low["after_1"][one])
+    zero, full = low["zero"], np.ones(len(grams))
+    level(zero[symbol], full * zero.sum(), full * (zero > 0).sum(), full * 0)
+    cost[waiting] -= np.log10(SYMBOLS - out_kinds[waiting])
     return cost
 
 
@@ -276,18 +287,19 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     train_docs = rows.where(~F.col("held_out")).count()
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     totals = (size["n"] + train_docs, size["v"] + (train_docs > 0), train_docs)
-    # at most 65,536 rows
-    pairs = grams.where("n > 0").groupBy(F.expr("gram & 65535").alias("p")).agg(F.sum("n").alias("n")).collect()
-    low = low_orders(np.array([r["p"] for r in pairs], np.int64), np.array([r["n"] for r in pairs], np.int64))
+    # at most 256 ** 3 rows of two numbers
+    short = grams.where("n > 0").groupBy(F.expr("gram & 16777215").alias("p")).agg(F.sum("n").alias("n")).toArrow()
+    low = low_orders(*_merge([(short.column("p").to_numpy(), short.column("n").to_numpy())]))
+    low_everywhere = spark.sparkContext.broadcast(low)
 
     def costs(group: pa.Table) -> pa.Table:
         keys = group.column("gram").to_numpy()
         order = np.argsort(keys)
         keys, n = keys[order], group.column("n").to_numpy()[order]
-        return pa.table({"gram": keys, "value": group_costs(keys, n, low)})
+        return pa.table({"gram": keys, "value": group_costs(keys, n, low_everywhere.value)})
 
     summed = grams.groupBy("gram").agg(F.sum("n").alias("n"))
-    priced = summed.groupBy(F.expr("shiftright(gram, 8) & 65535")).applyInArrow(costs, "gram long, value double")
+    priced = summed.groupBy(F.pmod(F.hash(F.expr("shiftright(gram, 8) & 16777215")), F.lit(4 * blocks))).applyInArrow(costs, "gram long, value double")
     none = F.lit(None)
     asked = grams.select("block", "gram").join(priced, "gram").select("block", "gram", none.cast("binary").alias("word"), "value")
     heard = (
