@@ -132,8 +132,9 @@ APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(lowered, APART), "")
+    # lower() also lowers letters beyond ASCII; these stay word characters, and the one
+    # that turns into an ASCII letter turns into k, which no base phrase has
+    return F.array_remove(F.split(F.lower(text), APART), "")
 
 
 def _base_places(phrase: str) -> str:
