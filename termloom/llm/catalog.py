@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, near, ppm, quality, substrings, wavelet
+from . import bpe, chat, decontaminate, licenses, near, ppm, quality, substrings, suffixes, wavelet
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_ppm": op1_ppm,
@@ -84,6 +88,7 @@ def queries() -> dict:
         "op6_licenses": op6_licenses,
         "op7_decontaminate": op7_decontaminate,
         "op8_substrings": op8_substrings,
+        "op9_suffixes": op9_suffixes,
         "op10_near": op10_near,
     }
 

@@ -24,14 +24,16 @@ _TYPES = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.b
 NOTHING = _TYPES.empty_table()
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text binary, block)``; a row's block is a hash of (doc_id, text)."""
+def in_blocks(docs: DataFrame, carry: list | None = None) -> DataFrame:
+    """``(doc_id, text binary, block)`` and ``carry``; a row's block is a hash of
+    (doc_id, text)."""
     text = whole_text()
     blocks = partitions(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.cast("binary").alias("text"),
         F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("long").alias("block"),
+        *(carry or []),
     )
 
 
