@@ -1,15 +1,60 @@
-"""Corpus preparation: each stage takes documents and returns what it keeps of them."""
+"""Corpus preparation: each stage takes documents and works on all that it kept.
+
+Quality rules reject documents, near-duplicates leave one of each class, byte strings
+that an earlier document has are cut, documents with benchmark passages go, and what is
+left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termloom.llm import bpe, decontaminate, near, quality, suffixes
+from termloom.llm.catalog import WORD_BPE
+from termloom.llm.common import materialize, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.keep_first(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A text that was cut has a new length."""
+    cut = suffixes.remove_repeats(docs)
+    kind = docs.schema["n_chars"].dataType
+    return cut.withColumn("n_chars", F.char_length("text").cast(kind))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids, decoded)``."""
+    return bpe.encode(docs, WORD_BPE)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("benchmark passages", benchmark_passages),
+    ("encoding", encoded),
+]
 
-STAGES: list = []
+#: Expectation-maximisation and sketches have no SQL; tests hold run() against a
+#: brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages in order; what a stage keeps is written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -78,6 +78,12 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_ppm": op1_ppm,
@@ -90,6 +96,7 @@ def queries() -> dict:
         "op8_substrings": op8_substrings,
         "op9_suffixes": op9_suffixes,
         "op10_near": op10_near,
+        "pipeline": pipeline,
     }
 
 

@@ -386,7 +386,7 @@ def _removed(f: _Fragments, prints: np.ndarray, offsets: np.ndarray, least: np.n
     return np.cumsum(mark[:-1]) > 0
 
 
-def _apply(docs: DataFrame, finish, schema: str, carry: list | None = None) -> DataFrame:
+def _apply(docs: DataFrame, finish, schema, carry: list | None = None) -> DataFrame:
     rows = exchange.in_blocks(docs, carry)
     found = _shared_fragments(rows, exchange.bucket_bits(docs))
 
@@ -438,13 +438,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     part goes. Other columns and null texts stay as they are."""
     others = [c for c in docs.columns if c != "text"]
     whole = F.struct(F.col("text").isNull().alias("was_null"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("columns"))
-    kind = docs.select(whole.alias("_doc")).schema["_doc"].dataType.simpleString()
+    schema = docs.select(whole.alias("_doc")).schema.add("_kept", "string")
 
     def finish(block: pa.Table, marks: list[np.ndarray]) -> pa.Table:
         texts = block.column("text").to_pylist()
         kept = [_without(t, g).decode(errors="ignore") for t, g in zip(texts, marks, strict=True)]
-        return pa.table([block.column("_doc"), pa.array(kept, pa.string())], names=["_doc", "_kept"])
+        fields = [block.schema.field("_doc"), pa.field("_kept", pa.string())]
+        return pa.table([block.column("_doc"), pa.array(kept, pa.string())], schema=pa.schema(fields))
 
-    out = _apply(docs, finish, f"_doc {kind}, _kept string", [whole.alias("_doc")])
+    out = _apply(docs, finish, schema, [whole.alias("_doc")])
     text = F.when(~F.col("_doc.was_null"), F.col("_kept"))
     return out.select(*[text.alias(c) if c == "text" else F.col(f"_doc.columns.`{c}`").alias(c) for c in docs.columns])
