@@ -47,7 +47,7 @@ d AS (SELECT tenant, term, CAST(sum(weight) AS BIGINT) AS frequency FROM marked
 )
 STATS = """, o AS (SELECT tenant, encode(term) AS t, lag(encode(term)) OVER (PARTITION BY tenant ORDER BY term) AS p FROM d),
 h AS (SELECT tenant, hex(t) AS t, hex(p) AS p FROM o),
-l AS (SELECT tenant, t, 2 * len(list_filter(range(1, least(length(t), coalesce(length(p), 0)) // 2 + 1), i -> t[1:2 * i] = p[1:2 * i])) AS l FROM h),
+l AS (SELECT tenant, t, 2 * len(list_filter(range(1, least(length(t), coalesce(length(p), 0)) // 2 + 1), lambda i: t[1:2 * i] = p[1:2 * i])) AS l FROM h),
 n AS (SELECT tenant, CAST(count(DISTINCT s) AS BIGINT) AS nodes FROM (
   SELECT tenant, t AS s FROM l UNION ALL SELECT tenant, t[1:l] FROM l) WHERE s <> '' GROUP BY tenant)
 SELECT tenant, any_value(nodes) AS nodes, CAST(count(*) AS BIGINT) AS terms, CAST(sum(length(t) - l) // 2 AS BIGINT) AS bytes
