@@ -35,7 +35,7 @@ from .common import materialize, partitions, whole_text
 ORDER = 5
 END, PAD = b"\xff", b"\xfe"  # no UTF-8 text holds these bytes
 SYMBOLS = 255  # all bytes but the padding
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = [(1 << 8 * (k + 1)) - 1 for k in range(ORDER + 1)]
@@ -127,7 +127,7 @@ def block_counts(block: pa.Table) -> pa.Table:
             keys, counts = np.unique(numbers, return_counts=True)
             counts = counts[keys >= 0] * (not held)
             grams.append((keys[keys >= 0], counts))
-            if len(grams) >= 8:
+            if len(grams) >= 12:
                 grams = [_merge(grams)]
             for text in texts:
                 found = text.translate(_LOWER).split()
@@ -227,8 +227,10 @@ def _score_block(docs: pa.Table, costs: pa.Table, totals: tuple[int, int, int])
     values = grams.column("value").to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
+    del grams, order
     rest = costs.filter(pa.compute.invert(is_gram))
-    known = dict(zip(rest.column("word").to_pylist(), rest.column("value").to_numpy().tolist(), strict=True))
+    known = dict(zip((w.as_py() for w in rest.column("word")), rest.column("value").to_numpy().tolist(), strict=True))
+    del rest, costs, is_gram
     scale = train_tokens + 0.5 * (kinds + 1)
     n_tokens, n_known, base, score = [], [], [], []
     for _, texts in _slices(docs.column("text")):
