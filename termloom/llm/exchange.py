@@ -85,6 +85,17 @@ def reduce_keys(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[
     return keys[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Four bytes an id where all fit, else eight."""
+    if len(ids) and (ids.min() < -(2**31) or ids.max() >= 2**31):
+        return ids.tobytes()
+    return ids.astype(np.int32).tobytes()
+
+
+def unpack_ids(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.int32 if len(blob) == 4 * n else np.int64).astype(np.int64)
+
+
 def packed(block: int, gathered: Gathered, bits: int, with_ids: bool) -> pa.Table:
     """A row for each range of keys that the block has any of."""
     keys, least, most = gathered.merged()
@@ -97,7 +108,7 @@ def packed(block: int, gathered: Gathered, bits: int, with_ids: bool) -> pa.Tabl
             pa.array([block] * len(rows), pa.int64()),
             pa.array(buckets[first], pa.int64()),
             pa.array([keys[a:b].tobytes() for a, b in rows], pa.binary()),
-            pa.array([least[a:b].tobytes() if with_ids else b"" for a, b in rows], pa.binary()),
+            pa.array([pack_ids(least[a:b]) if with_ids else b"" for a, b in rows], pa.binary()),
             pa.array([np.packbits(least[a:b] != most[a:b]).tobytes() for a, b in rows], pa.binary()),
         ],
         schema=_TYPES,
@@ -111,7 +122,7 @@ def resolve(range_: pa.Table) -> pa.Table:
     keys = np.concatenate(blobs)
     several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(range_.column("several").to_pylist(), sizes, strict=True)])
     with_ids = bool(range_.column("least")[0].as_py())
-    least = np.concatenate([np.frombuffer(x, np.int64) for x in range_.column("least").to_pylist()]) if with_ids else None
+    least = np.concatenate([unpack_ids(x, n) for x, n in zip(range_.column("least").to_pylist(), sizes.tolist(), strict=True)]) if with_ids else None
     row = np.repeat(np.arange(len(blobs)), sizes)
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
@@ -133,7 +144,7 @@ def resolve(range_: pa.Table) -> pa.Table:
             pa.array([numbers[i] for i, _, _ in rows], pa.int64()),
             pa.array([range_.column("bucket")[0].as_py()] * len(rows), pa.int64()),
             pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()),
-            pa.array([least[a:b].tobytes() if with_ids else b"" for _, a, b in rows], pa.binary()),
+            pa.array([pack_ids(least[a:b]) if with_ids else b"" for _, a, b in rows], pa.binary()),
             pa.array([b""] * len(rows), pa.binary()),
         ],
         schema=_TYPES,
@@ -147,7 +158,7 @@ def answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     rows = sorted(zip(table.column("bucket").to_pylist(), table.column("keys").to_pylist(), table.column("least").to_pylist(), strict=True))
     keys = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint64)
-    return keys, np.frombuffer(b"".join(x for _, _, x in rows), np.int64)
+    return keys, np.concatenate([unpack_ids(x, len(k) // 8) for _, k, x in rows])
 
 
 def has(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:

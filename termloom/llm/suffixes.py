@@ -256,20 +256,28 @@ def _found(block: int, bits: int, prints, anchors, least, texts: list | None = N
         [
             pa.array([block] * len(rows), pa.int64()),
             pa.array(buckets[first], pa.int64()),
-            *[pa.array([x[a:b].tobytes() for a, b in rows], pa.binary()) for x in (anchors, prints, least)],
+            *[pa.array([x[a:b].tobytes() for a, b in rows], pa.binary()) for x in (anchors, prints)],
+            pa.array([exchange.pack_ids(least[a:b]) for a, b in rows], pa.binary()),
             pa.array(sent, pa.list_(pa.binary())),
         ],
         schema=_FOUND_TYPES,
     )
 
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _joined(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of 64-bit numbers, each with all rows' numbers one after the other."""
+    sizes = [len(x) // 8 for x in table.column("prints").to_pylist()]
+    return [
+        np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64)
+        if c in ("anchors", "prints")
+        else np.concatenate([exchange.unpack_ids(x, n) for x, n in zip(table.column(c).to_pylist(), sizes, strict=True)])
+        for c in names
+    ]
 
 
 def _reply(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table(
-        [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3)]],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), *[pa.array([exchange.pack_ids(r[k]) for r in rows], pa.binary()) for k in (2, 3)]],
         schema=_REPLY_TYPES,
     )
 
@@ -277,7 +285,7 @@ def _reply(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Tab
 def _smallest_by_print(range_: pa.Table) -> pa.Table:
     """Answers each block with the smallest id of each of its fragments; those of an
     anchor with several are marked for sorting, and one block is to send each text."""
-    prints, anchors, least = (_joined(range_, c, k) for c, k in (("prints", np.uint64), ("anchors", np.uint64), ("least", np.int64)))
+    prints, anchors, least = _joined(range_, "prints", "anchors", "least")
     sizes = np.array([len(x) // 8 for x in range_.column("prints").to_pylist()])
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((row, prints, anchors))
@@ -305,7 +313,7 @@ def _smallest_by_window(range_: pa.Table) -> pa.Table:
     for block, a, p, x, texts in zip(*[range_.column(c).to_pylist() for c in ("block", "anchors", "prints", "least", "texts")], strict=True):
         prints = np.frombuffer(p, np.uint64)
         held.append((block, prints))
-        for anchor, print_, least, text in zip(np.frombuffer(a, np.uint64).tolist(), prints.tolist(), np.frombuffer(x, np.int64).tolist(), texts, strict=True):
+        for anchor, print_, least, text in zip(np.frombuffer(a, np.uint64).tolist(), prints.tolist(), exchange.unpack_ids(x, len(prints)).tolist(), texts, strict=True):
             if text is not None:
                 families[anchor][print_] = (text, least)
     runs: dict[int, list[tuple[int, int]]] = {}
@@ -343,7 +351,7 @@ def _shared_fragments(rows: DataFrame, bits: int) -> DataFrame:
     def contested(block: pa.Table, reply: pa.Table) -> pa.Table:
         if not reply.num_rows:
             return _FOUND_TYPES.empty_table()
-        prints, offsets, least = (_joined(reply, c, k) for c, k in (("prints", np.uint64), ("offsets", np.int64), ("least", np.int64)))
+        prints, offsets, least = _joined(reply, "prints", "offsets", "least")
         wanted = np.flatnonzero(offsets < 0)
         wanted = wanted[np.argsort(prints[wanted])]
         prints, send, least = prints[wanted], offsets[wanted] == SEND, least[wanted]
@@ -392,7 +400,7 @@ def _apply(docs: DataFrame, finish, schema, carry: list | None = None) -> DataFr
 
     def apply(block: pa.Table, reply: pa.Table) -> pa.Table:
         if reply.num_rows:
-            prints, offsets, least = (_joined(reply, c, k) for c, k in (("prints", np.uint64), ("offsets", np.int64), ("least", np.int64)))
+            prints, offsets, least = _joined(reply, "prints", "offsets", "least")
             good = np.flatnonzero(offsets >= 0)
             good = good[np.lexsort((offsets[good], prints[good]))]
             prints, offsets, least = prints[good], offsets[good], least[good]
