@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, licenses, near, ppm, quality, substrings, suffixes, wavelet
-from .common import table
+from .common import ship_code, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -117,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {
+    every = {
         "op1_ppm": op1_ppm,
         "op2_bpe": op2_bpe,
         "op3_wavelet": op3_wavelet,
@@ -131,6 +131,15 @@ def queries() -> dict:
         "pipeline": pipeline,
     }
 
+    def shipped(query):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(query) for name, query in every.items()}
+
 
 def oracle_sql() -> dict[str, str]:
     return {
