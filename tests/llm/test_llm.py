@@ -329,6 +329,27 @@ def test_near_duplicates(corpus, nothing):
     assert near.classes(nothing).count() == 0
 
 
+def edited(words, places):
+    return [f"new{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def linked(spark, texts, sketches):
+    """Links between texts whose sketches are given."""
+    schema = "doc_id bigint, n_words bigint, sketches array<bigint>"
+    nodes = spark.createDataFrame([(i, len(t.split()), s) for i, (t, s) in enumerate(zip(texts, sketches, strict=True))], schema)
+    got = near.links(nodes, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return {tuple(sorted(r)) for r in got}
+
+
+def test_near_pairs_that_a_leader_separates(spark):
+    lead = [f"w{i}" for i in range(100)]
+    middle = edited(lead, range(0, 12))
+    last = edited(middle, range(50, 62))
+    texts = [" ".join(t) for t in (lead, middle, last)]
+    assert near.similar(texts[0], texts[1]) and near.similar(texts[1], texts[2]) and not near.similar(texts[0], texts[2])
+    assert linked(spark, texts, [[1]] * 3) == {(0, 1), (1, 2)}
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(102, 101), (103, 102), (200, 101), (300, 299)]
     got = {r["node"]: r["root"] for r in near.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
