@@ -350,6 +350,33 @@ def test_near_pairs_that_a_leader_separates(spark):
     assert linked(spark, texts, [[1]] * 3) == {(0, 1), (1, 2)}
 
 
+def test_near_copies_that_share_a_passage_with_a_leader(spark):
+    rng = random.Random(3)
+    shared = [f"p{i}" for i in range(70)]
+    texts, sketches = [], []
+    for k in range(10):
+        one = shared + [f"k{k}x{i}" for i in range(30)]
+        texts += [" ".join(t) for t in (shared + [f"k{k}y{i}" for i in range(30)], one, edited(one, set(rng.sample(range(70, 100), 15))))]
+        sketches += [[k]] * 3
+    assert linked(spark, texts, sketches) == {(3 * k + 1, 3 * k + 2) for k in range(10)}
+
+
+def test_near_large_buckets(spark):
+    """One bucket in several blocks: pairs are all the similar ones, up to what is in one component."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(170):
+        one = [f"k{k}x{i}" for i in range(20)] + ["same"] * 5
+        texts += [" ".join(one)] + [" ".join(edited(one, set(rng.sample(range(25), 4)))) for _ in range(3)]
+    rng.shuffle(texts)
+    roots = {r["node"]: r["root"] for r in near.components(spark.createDataFrame(sorted(linked(spark, texts, [[1]] * len(texts))), "a bigint, b bigint")).collect()}
+    groups = collections.defaultdict(set)
+    for i, root in roots.items():
+        groups[root].add(i)
+    assert sorted(len(g) for g in groups.values()) == [4] * 170
+    assert all(len({next(w for w in texts[i].split() if w[0] == "k").split("x")[0] for i in g}) == 1 for g in groups.values())
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(102, 101), (103, 102), (200, 101), (300, 299)]
     got = {r["node"]: r["root"] for r in near.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
