@@ -377,6 +377,21 @@ def test_near_large_buckets(spark):
     assert all(len({next(w for w in texts[i].split() if w[0] == "k").split("x")[0] for i in g}) == 1 for g in groups.values())
 
 
+def test_near_candidates_at_the_threshold():
+    rng = random.Random(1)
+
+    def met(n, edits):
+        one = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        two = list(one)
+        for p in rng.sample(range(n), edits):
+            two[p : p + 1] = rng.choice([["z"], ["z"], [two[p], "z"]]) if n < 200 else [f"z{p}"]
+        return bool(np.isin(near.sketch(near.word_hashes(" ".join(one))), near.sketch(near.word_hashes(" ".join(two)))).any())
+
+    assert all(met(n, n // 5) for n in range(5, 25) for _ in range(100))
+    for n in (26, 30, 40, 100, 300):
+        assert sum(met(n, n // 5) for _ in range(300)) >= 270
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(102, 101), (103, 102), (200, 101), (300, 299)]
     got = {r["node"]: r["root"] for r in near.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
