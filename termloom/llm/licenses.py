@@ -9,6 +9,7 @@ apart, on the words themselves, and their labels always stay.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,22 +88,22 @@ NAMES = {
     "openrail": "(creativeml )?open ?rail( m)?( licen[sc]e)?",
 }
 
-#: What stands around a name, its keyword and priority; {} is the name.
+#: What stands around a name, its keywords and priority; {} is the name.
 FORMS = (
-    ("spdx license identifier {}", "spdx", 4),
-    ("(re)?licen[sc]ed( to you)? under( either)?( the)?( terms of)?( the)? {}", "licen", 3),
-    ("(released|distributed|published|available|provided|covered|governed)( to you)? (under|by)( either)?( the)?( terms of)?( the)? {}", "under", 3),
-    ("(see|read)( the)? {} for( more)? details", "details", 2),
-    ("{}", None, 1),
+    ("spdx license identifier {}", ("spdx",), 4),
+    ("(re)?licen[sc]ed( to you)? under( either)?( the)?( terms of)?( the)? {}", ("licen",), 3),
+    ("(released|distributed|published|available|provided|covered|governed)( to you)? (under|by)( either)?( the)?( terms of)?( the)? {}", ("under", "by"), 3),
+    ("(see|read)( the)? {} for( more)? details", ("details",), 2),
+    ("{}", (), 1),
 )
 
 
 #: Every match of a name holds one of those of these that stand in its
-#: pattern. A text with none of them has no detection.
+#: pattern outside parts that may be absent. A text with none of them has no detection.
 GATES = (
     "licen", "gpl", "apache", "no attribution", "cc by", "cc0", "cc zero", "creative commons", "public domain",
     "mpl", "epl", "eupl", "cddl", "cpl", "fdl", "bsl 1", "ofl", "wtfpl", "ms pl", "ms rl", "odbl", "odc by", "pddl",
-    "rail",
+    "rail", "mit", "expat", "x11", "bsd", "isc", "internet systems", "zlib", "libpng", "png reference", "beer",
 )
 
 
@@ -111,7 +112,7 @@ class Rule:
     label: str
     pattern: str
     keywords: tuple[str, ...]
-    context: str
+    context: tuple[str, ...]
     priority: int
 
 
@@ -122,7 +123,8 @@ def rules() -> list[Rule]:
         for form, context, priority in FORMS:
             # by itself a name has to say that it is a license
             written = name if context else name.replace("( licen[sc]e)?", "( licen[sc]e)")
-            keywords = tuple(g for g in GATES if g in written) or ("",)
+            sure = re.sub(r"\([^()]*(\([^()]*\)[^()]*)*\)\?", "", written)
+            keywords = tuple(g for g in GATES if g in sure) or ("",)
             out.append(Rule(label, f"(?<= ){form.format(written)}(?= )", keywords, context, priority))
     return sorted(out, key=lambda r: -r.priority)
 
@@ -146,7 +148,7 @@ def _base_places(phrase: str) -> str:
 def _rule_table() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     return "array(" + ", ".join(
-        f"named_struct('label', {quote(r.label)}, 'pattern', {quote(r.pattern)}, 'keywords', array({', '.join(map(quote, r.keywords))}), 'context', {quote(r.context or '')}, 'priority', {r.priority}, 'rank', {i})"
+        f"named_struct('label', {quote(r.label)}, 'pattern', {quote(r.pattern)}, 'keywords', array({', '.join(map(quote, r.keywords))}), 'context', array({', '.join(map(quote, r.context or ('',)))}), 'priority', {r.priority}, 'rank', {i})"
         for i, r in enumerate(rules())
     ) + ")"
 
@@ -167,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_n", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
     gate = " or ".join(f"contains(_n, '{g}')" for g in GATES)
     hits = f"""if({gate},
-        filter({_rule_table()}, r -> contains(_n, r.context) and exists(r.keywords, k -> contains(_n, k))),
+        filter({_rule_table()}, r -> exists(r.context, c -> contains(_n, c)) and exists(r.keywords, k -> contains(_n, k))),
         array())"""
     # What a pattern matches and what stands between give the places of its matches.
     found = rows.withColumn("_r", F.expr(hits)).withColumn(

@@ -201,6 +201,40 @@ def test_licenses(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def spelled(tree, rng):
+    """A random text that a parsed regular expression matches."""
+    out = ""
+    for op, x in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            kind, v = rng.choice(x)
+            out += chr(v if str(kind) == "LITERAL" else rng.randint(*v))
+        elif op == "BRANCH":
+            out += spelled(rng.choice(x[1]), rng)
+        elif op == "SUBPATTERN":
+            out += spelled(x[3], rng)
+        elif op == "MAX_REPEAT":
+            out += spelled(x[2], rng) * rng.randint(0, 1)
+    return out
+
+
+def test_license_gates_lose_no_match(spark):
+    rng = random.Random(2)
+    for r in licenses.rules():
+        for _ in range(60):
+            text = f" {spelled(re._parser.parse(r.pattern), rng).strip()} "
+            assert re.search(r.pattern, text)
+            assert not r.context or any(c in text for c in r.context)
+            assert any(k in text for k in r.keywords) and any(g in text for g in licenses.GATES), (r, text)
+    rows = ["released under MIT.", "distributed under the BSD 3-clause", "see zlib for details", "Governed by X11", "plain text"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {
+        0: ("mit", 0.75), 1: ("bsd-3-clause", 0.75), 2: ("zlib", 0.5), 3: ("mit", 0.75), 4: ("", 0.0)
+    }
+
+
 def test_decontamination(spark, corpus, nothing):
     rng = random.Random(3)
     items = [(k, "".join(rng.choice("abcdefgh ") for _ in range(n))) for k, n in ((1, 90), (2, 200), (3, 20), (4, 5), (5, 0))]
