@@ -47,8 +47,8 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: Expectation-maximisation and sketches have no SQL; tests hold run() against a
-#: brute-force version instead.
+#: Expectation-maximisation and sketches have no SQL. Tests hold each stage's operator against
+#: a plain version and run the stages in a row; no test compares the output of run().
 ORACLE_SQL = None
 
 
