@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import StorageError
 from .functions import bytestr, validate
 from .operators import completions, dictionary, search, shape
 from .plans import api
@@ -17,9 +20,17 @@ from .streaming import ingest
 
 
 def _work_dir(spark: SparkSession) -> str:
-    """A folder of its own in the shared one; a temporary one where none is set."""
+    """A folder of its own in the shared one. Where none is set, a local session gets a
+    temporary one that goes with the process; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="termloom-")
+    if shared:
+        return f"{shared}/store-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise StorageError("spark.checkpoint.dir has to name a folder that the executors share")
+    folder = tempfile.mkdtemp(prefix="termloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def _docs(spark, d) -> DataFrame:
@@ -123,9 +134,9 @@ def _recovered(spark, d) -> DataFrame:
     store = Store(spark, _work_dir(spark))
     ops = terms.event_ops(spark, d)
     half = ops.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    store.append(ops.where(F.col("seq") <= half), 0)
+    store.append(ops.where(F.col("seq") <= half))
     store.compact()
-    store.append(ops.where(F.col("seq") > half), 1)
+    store.append(ops.where(F.col("seq") > half))
     return Store(spark, store.path).dictionary()
 
 

@@ -24,6 +24,13 @@ def term_error(term: Column) -> Column:
     )
 
 
+def judged(ops: DataFrame) -> DataFrame:
+    """An operation log with ``error``: null, or why an operation is refused."""
+    kind = F.when(F.col("op").isNull() | ~F.col("op").isin("index", "set", "delete"), "no such operation")
+    number = F.when(F.col("weight") < 0, "weight must not be negative")
+    return ops.withColumn("error", F.coalesce(tenant_error(F.col("tenant")), term_error(F.col("term")), kind, number))
+
+
 def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected); the rejected have ``error`` and ``status`` columns."""
     error = F.coalesce(tenant_error(F.col("tenant")), term_error(F.col("term")))

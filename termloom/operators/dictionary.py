@@ -49,6 +49,13 @@ def fold_ops(log: DataFrame) -> DataFrame:
     return live.groupBy(*KEY).agg(capped_sum(weight_or_one(F.col("weight"))).alias("frequency"))
 
 
+def fold_state(log: DataFrame) -> DataFrame:
+    """``(tenant, term, frequency, reset)``: as ``fold_ops``, with the number of each key's
+    last delete or set; a deleted key stays with a null frequency."""
+    last = log.where("op in ('delete', 'set')").groupBy(*KEY).agg(F.max("seq").alias("reset"))
+    return fold_ops(log).join(last, KEY, "full").select(*KEY, "frequency", "reset")
+
+
 def last_write_wins(log: DataFrame) -> DataFrame:
     """``(tenant, term, op, weight)`` of each key's last operation: what a batch of writes
     leaves, a delete as a null weight."""

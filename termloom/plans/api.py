@@ -6,6 +6,11 @@ K is cut to 100 and more than two edits are refused here, not in the engine.
 from __future__ import annotations
 
 import json
+import logging
+import queue
+import threading
+import time
+import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -16,6 +21,10 @@ from ..errors import EngineError, Invalid
 from ..schema import DEFAULT_K, DEFAULT_WEIGHT, MAX_K, MAX_TYPO
 from .engine import Engine
 
+#: A request that takes longer is given up.
+REQUEST_TIMEOUT_S = 2.0
+log = logging.getLogger(__name__)
+
 
 def hits_json(hits: DataFrame) -> DataFrame:
     """One row ``json``: the array of ordered hits ``(rank, term, score[, distance])``,
@@ -71,8 +80,7 @@ def health(engine: Engine) -> tuple[int, str]:
     return 200, json.dumps({"status": "ok", "tenants": tenants})
 
 
-def handle(engine: Engine, method: str, target: str, body: str = "") -> tuple[int, str]:
-    """Routes a request; errors become their status and ``{"error": message}``."""
+def _route(engine: Engine, method: str, target: str, body: str) -> tuple[int, str]:
     parts = urlsplit(target)
     path = [unquote(p) for p in parts.path.split("/")[1:]]
     params = {k: v[-1] for k, v in parse_qs(parts.query, keep_blank_values=True).items()}
@@ -91,6 +99,32 @@ def handle(engine: Engine, method: str, target: str, body: str = "") -> tuple[in
         return e.status, json.dumps(e.body())
 
 
+def handle(engine: Engine, method: str, target: str, body: str = "", timeout_s: float = REQUEST_TIMEOUT_S) -> tuple[int, str]:
+    """Routes a request; errors become their status and ``{"error": message}``. One that
+    takes too long is answered with 408, and its jobs are cancelled. Each is logged."""
+    group, started = f"request-{uuid.uuid4().hex}", time.monotonic()
+    context = engine.spark.sparkContext
+    answers: queue.Queue = queue.Queue()
+
+    def work() -> None:
+        context.setJobGroup(group, f"{method} {target}", interruptOnCancel=True)
+        try:
+            answers.put(_route(engine, method, target, body))
+        except Exception as e:  # the caller's thread has to hear of it
+            answers.put(e)
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        answer = answers.get(timeout=timeout_s)
+    except queue.Empty:
+        context.cancelJobGroup(group)
+        answer = 408, ""
+    if isinstance(answer, Exception):
+        raise answer
+    log.info("%s %s %d %.1f ms", method, target, answer[0], (time.monotonic() - started) * 1000)
+    return answer
+
+
 def server(engine: Engine) -> ThreadingHTTPServer:
     """A server for ``config.bind_addr``; call ``serve_forever`` on it."""
 

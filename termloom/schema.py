@@ -8,9 +8,12 @@ from dataclasses import dataclass
 from .errors import Invalid
 
 DICTIONARY = "tenant string, term string, frequency bigint"
-TERM_INPUT = "tenant string, term string, weight bigint"
 OP_LOG = "seq bigint, tenant string, term string, op string, weight bigint"
-REQUESTS = "query_id bigint, tenant string, query string, k int, typo int"
+REJECTED_OPS = OP_LOG + ", error string"
+SNAPSHOT = DICTIONARY + ", reset bigint"
+
+#: Sequence number, before all others, of what a snapshot knows of a key that was never reset.
+NO_RESET = -(2**62)
 
 #: Largest frequency: sums stop there.
 FREQUENCY_CAP = 2**63 - 1
@@ -19,6 +22,9 @@ FREQUENCY_CAP = 2**63 - 1
 DEFAULT_K, MAX_K, MAX_TYPO, DEFAULT_WEIGHT = 10, 100, 2, 1
 
 
+ENV_PREFIX = "TERMLOOM_"
+
+
 @dataclass(frozen=True)
 class Config:
     data_dir: str = "./data"
@@ -29,19 +35,24 @@ class Config:
 
     @staticmethod
     def from_env(env: dict[str, str] | None = None) -> Config:
-        """Reads AUTOCOMPLETE_* variables; a number that can't be read keeps its default."""
+        """Reads TERMLOOM_* variables; what can't be read is an error, and a batch or a
+        queue holds at least one operation."""
         env = dict(os.environ) if env is None else env
 
         def number(name: str, default: int) -> int:
-            text = env.get(f"AUTOCOMPLETE_{name}", "")
-            return int(text) if text.isascii() and text.isdigit() else default
-
-        bind = env.get("AUTOCOMPLETE_BIND_ADDR", Config.bind_addr)
+            text = env.get(f"{ENV_PREFIX}{name}")
+            if text is None:
+                return default
+            if not (text.isascii() and text.isdigit()):
+                raise Invalid(f"{ENV_PREFIX}{name} must be a number: {text}")
+            return int(text)
+
+        bind = env.get(f"{ENV_PREFIX}BIND_ADDR", Config.bind_addr)
         host, colon, port = bind.rpartition(":")
-        if not (host and colon and port.isdigit() and int(port) < 65536):
-            raise Invalid(f"not an address: {bind}")
+        if not (host and colon and port.isascii() and port.isdigit() and int(port) < 65536):
+            raise Invalid(f"{ENV_PREFIX}BIND_ADDR must be an address: {bind}")
         return Config(
-            env.get("AUTOCOMPLETE_DATA_DIR", Config.data_dir),
+            env.get(f"{ENV_PREFIX}DATA_DIR", Config.data_dir),
             bind,
             number("FLUSH_INTERVAL_MS", Config.flush_interval_ms),
             max(1, number("MAX_BATCH", Config.max_batch)),
