@@ -15,6 +15,7 @@ from .functions import bytestr, validate
 from .operators import completions, dictionary, search, shape
 from .plans import api
 from .plans.store import Store
+from .schema import Config
 from .sources import terms
 from .streaming import ingest
 
@@ -92,9 +93,12 @@ def _members(spark, d) -> DataFrame:
 
 
 def _distances(spark, d) -> DataFrame:
-    first = terms.benchmark_requests(spark, d).select("query").distinct()
-    pairs = first.crossJoin(F.broadcast(first.withColumnRenamed("query", "other").orderBy("other").limit(20)))
-    return pairs.select("query", "other", bytestr.byte_levenshtein(F.col("query"), F.col("other")).alias("distance"))
+    """Each item's first word and its second one."""
+    words = F.split("text", "\\s+")
+    pairs = terms.table(spark, d, "benchmark").select(
+        "item_id", F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("query"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("other")
+    )
+    return pairs.withColumn("distance", bytestr.byte_levenshtein(F.col("query"), F.col("other")))
 
 
 def _raw_topk(spark, d) -> DataFrame:
@@ -130,6 +134,26 @@ def _stream(spark, d) -> DataFrame:
     return store.dictionary()
 
 
+def _json_calls(spark, d) -> DataFrame:
+    """Index calls as JSON texts, a third of them without a weight."""
+    call = F.to_json(F.struct(F.col("lang").alias("tenant"), F.col("source").alias("term"), F.expr("if(doc_id % 3 <> 0, n_chars, null)").alias("weight")))
+    calls = terms.json_input(terms.table(spark, d, "documents").select(call.alias("value")))
+    return dictionary.from_terms(calls.where("tenant is not null and term is not null"))
+
+
+def _running(spark, d) -> DataFrame:
+    """A running dictionary fed with the events in order, a quarter of them a micro-batch;
+    the last row of a term counts."""
+    folder = _work_dir(spark)
+    ops = terms.event_ops(spark, d)
+    cuts = [-1, *ops.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75])).first()[0], 2**62]
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        ops.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.parquet(f"{folder}/in/part{k}")
+    stream = ingest.read_ops(spark, f"{folder}/in/part*", Config(max_batch=1))
+    ingest.write_changes(ingest.running_dictionary(stream), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return ingest.latest(spark, f"{folder}/out")
+
+
 def _recovered(spark, d) -> DataFrame:
     store = Store(spark, _work_dir(spark))
     ops = terms.event_ops(spark, d)
@@ -197,8 +221,8 @@ FROM r JOIN d ON d.tenant = r.tenant AND levenshtein(d.term, r.query) <= 2""",
     ),
     "byte_distance_pairs": (
         _distances,
-        """WITH q AS (SELECT DISTINCT regexp_split_to_array(text, '\\s+')[1] AS query FROM benchmark)
-SELECT query, other, CAST(levenshtein(query, other) AS INTEGER) AS distance FROM q, (SELECT query AS other FROM q ORDER BY query LIMIT 20)""",
+        """SELECT item_id, query, other, CAST(levenshtein(query, other) AS INTEGER) AS distance FROM (
+  SELECT item_id, coalesce(regexp_split_to_array(text, '\\s+')[1], '') AS query, coalesce(regexp_split_to_array(text, '\\s+')[2], '') AS other FROM benchmark)""",
     ),
     "exact_lookup": (
         lambda spark, d: search.exact(_docs(spark, d), "fr", "été"),
@@ -261,7 +285,17 @@ UNION ALL SELECT p_brand, p_name, 400 FROM part WHERE p_brand = '' OR p_name = '
     row_number() OVER (PARTITION BY tenant, term[1:n] ORDER BY frequency DESC, term) AS rank
   FROM (SELECT *, unnest(range(0, length(term) + 1)) AS n FROM d)) WHERE rank <= 3""",
     ),
-    "http_hits_json": (_hits_json, None),
+    "http_hits_json": (
+        _hits_json,
+        DOC_TERMS + """SELECT '[' || string_agg('{"term":' || CAST(to_json(term) AS VARCHAR) || ',"score":' || score || '}', ',' ORDER BY score DESC, term) || ']' AS json
+FROM (SELECT term, frequency AS score FROM d WHERE tenant = 'en' ORDER BY frequency DESC, term LIMIT 5)""",
+    ),
+    "index_json_calls": (
+        _json_calls,
+        """SELECT lang AS tenant, source AS term, CAST(sum(coalesce(n, 1)) AS BIGINT) AS frequency FROM (
+  SELECT lang, source, CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS n FROM documents) WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL""",
+    ),
+    "stream_running_dictionary": (_running, FOLD + "SELECT * FROM d"),
     "stream_index_available_now": (_stream, FOLD + "SELECT * FROM d"),
     "snapshot_recover": (_recovered, FOLD + "SELECT * FROM d"),
 }

@@ -22,10 +22,16 @@ def byte_levenshtein(a: Column, b: Column, limit: int | None = None) -> Column:
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two ``latin1`` views; 0 with a null."""
+    """Length of the common prefix of two ``latin1`` views; 0 with a null. Steps of falling
+    powers of two are taken while the substrings ahead are equal."""
     n = F.least(F.length(a), F.length(b))
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(F.size(places))
+    powers = F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    found = F.aggregate(
+        powers,
+        F.lit(0),
+        lambda done, p: F.when((done + p <= n) & (F.substring(a, done + 1, p) == F.substring(b, done + 1, p)), done + p).otherwise(done),
+    )
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(found)
 
 
 def prefixes(term: Column, least: int = 0) -> Column:

@@ -1,9 +1,8 @@
 """Building and folding dictionaries: ``(tenant, term, frequency)``, a row per live term.
 
 An operation log has rows ``(seq, tenant, term, op, weight)``, with ``op`` one of index
-(adds the weight), set (replaces) and delete (removes), and ``seq`` unique. Sums are made
-as decimals and stop at the largest BIGINT. A missing weight counts as 1; weight 0 makes
-a live term of frequency 0.
+(adds the weight), set (replaces) and delete (removes), and ``seq`` unique. Sums stop at
+the largest BIGINT. A missing weight counts as 1; weight 0 makes a live term of frequency 0.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ SEQ_BLOCK = 65_536
 
 
 def capped_sum(weight: Column) -> Column:
-    return F.least(F.sum(weight.cast("decimal(38,0)")), F.lit(FREQUENCY_CAP).cast("decimal(38,0)")).cast("bigint")
+    """The sum of weights from 0 on, none null; one beyond BIGINT stops at the cap."""
+    return F.coalesce(F.try_sum(weight), F.lit(FREQUENCY_CAP))
 
 
 def weight_or_one(weight: Column) -> Column:

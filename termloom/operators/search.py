@@ -15,6 +15,8 @@ from ..functions.bytestr import byte_levenshtein, deletion_neighbours, latin1
 
 #: Terms of more bytes have too many deletions to list; they are compared by length.
 NEIGHBOUR_BYTES = 32
+#: Distinct queries that go to every task; more are met by a shuffle.
+BROADCAST_QUERIES = 100_000
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -62,12 +64,12 @@ def _distinct_queries(requests: DataFrame, *more: str) -> DataFrame:
     return requests.groupBy("tenant", "query", *more).agg(F.max("k").alias("_most"))
 
 
-def _ranked(hits: DataFrame, requests: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Ranks each distinct query's hits once, then hands them to all its requests. The
-    limit on the rank lets Spark cut each query's hits before they are shuffled."""
+def _ranked(hits: DataFrame, requests: DataFrame, keys: list[str], columns: list[str], most: int) -> DataFrame:
+    """Ranks each key's hits once, then hands them to all its requests. The limit on the
+    rank lets Spark cut the hits of a key in each task before they are shuffled, so a key
+    that all terms match moves ``most`` rows a task."""
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("term"))
-    most = requests.agg(F.max("k").alias("m")).first()["m"] or 0
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).where("rank <= _most")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return requests.join(best, keys).where("rank <= k").select("query_id", "rank", *columns)
 
 
@@ -75,40 +77,43 @@ def prefix_topk_batch(dictionary: DataFrame, requests: DataFrame) -> DataFrame:
     """``(query_id, rank, term, score)`` for requests ``(query_id, tenant, query, k)``.
 
     The prefix test becomes an equality: terms are cut to the lengths that their tenant's
-    queries have, and joined on (tenant, cut term).
+    queries have. What nobody asks for is left out early where the queries are few enough
+    to go to every task; either way a prefix's terms are ranked before they meet requests.
     """
     queries = _distinct_queries(requests)
+    known = queries.agg(F.count("*").alias("n"), F.coalesce(F.max("_most"), F.lit(0)).alias("most")).first()
     sizes = queries.groupBy("tenant").agg(F.collect_set(F.char_length("query")).alias("_sizes"))
     cut = dictionary.join(sizes, "tenant").select(
         "tenant", "term", F.col("frequency").alias("score"), F.explode("_sizes").alias("_n")
     )
     cut = cut.where("_n <= char_length(term)").withColumn("query", F.expr("substring(term, 1, _n)"))
-    hits = cut.join(queries, ["tenant", "query"])
-    return _ranked(hits, requests, ["tenant", "query"], ["term", "score"])
+    if known["n"] <= BROADCAST_QUERIES:
+        cut = cut.join(F.broadcast(queries.select("tenant", "query")), ["tenant", "query"], "left_semi")
+    return _ranked(cut, requests, ["tenant", "query"], ["term", "score"], known["most"])
 
 
 def fuzzy_pairs(dictionary: DataFrame, queries: DataFrame) -> DataFrame:
     """``(tenant, query, typo, _most, term, score, distance)``, each pair once.
 
-    For up to two edits, short terms and queries meet where they share a string with as
-    many bytes left out. All others meet by tenant and length.
+    Terms are cut to the lengths that a query of their tenant allows. For up to two edits,
+    short terms and queries meet where they share a string with as many bytes left out. All
+    others meet by tenant and length. Only the budgets that are asked for are worked out.
     """
     terms = dictionary.select("tenant", "term", F.col("frequency").alias("score")).withColumn("_size", F.octet_length("term"))
-    asked = queries.withColumn("_bytes", F.octet_length("query"))
+    asked = queries.where("typo >= 0").withColumn("_bytes", F.octet_length("query"))
     short = (F.col("_bytes") + F.col("typo") <= NEIGHBOUR_BYTES) & (F.col("typo") <= 2)
+    reach = F.explode(F.sequence(F.greatest(F.lit(0), F.col("_bytes") - F.col("typo")), F.col("_bytes") + F.col("typo"))).alias("_size")
+    budgets = {r["typo"] for r in asked.where(short).select("typo").distinct().collect()}
     parts = []
-    for edits in (0, 1, 2):
+    for edits in sorted(budgets):
         mine = asked.where(short & (F.col("typo") == edits))
         keyed = mine.withColumn("_key", F.explode(deletion_neighbours(latin1(F.col("query")), edits)))
-        listed = terms.where(F.col("_size") <= NEIGHBOUR_BYTES).withColumn(
-            "_key", F.explode(deletion_neighbours(latin1(F.col("term")), edits))
-        )
+        near = terms.join(mine.select("tenant", reach).distinct(), ["tenant", "_size"], "left_semi")
+        listed = near.withColumn("_key", F.explode(deletion_neighbours(latin1(F.col("term")), edits)))
         met = keyed.join(listed, ["tenant", "_key"]).drop("_key")
         parts.append(met.dropDuplicates(["tenant", "query", "typo", "term"]))
-    wide = asked.where(~short & (F.col("typo") >= 0)).withColumn(
-        "_size", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_bytes") - F.col("typo")), F.col("_bytes") + F.col("typo")))
-    )
-    parts.append(wide.join(terms, ["tenant", "_size"]))
+    wide = asked.where(~short)
+    parts.append(wide.select("*", reach).join(terms, ["tenant", "_size"]))
     columns = ["tenant", "query", "typo", "_most", "term", "score"]
     every = parts[0].select(*columns)
     for part in parts[1:]:
@@ -119,5 +124,6 @@ def fuzzy_pairs(dictionary: DataFrame, queries: DataFrame) -> DataFrame:
 
 def fuzzy_topk_batch(dictionary: DataFrame, requests: DataFrame) -> DataFrame:
     """``(query_id, rank, term, score, distance)`` for requests with a ``typo`` budget."""
+    most = requests.agg(F.coalesce(F.max("k"), F.lit(0)).alias("m")).first()["m"]
     hits = fuzzy_pairs(dictionary, _distinct_queries(requests, "typo"))
-    return _ranked(hits, requests, ["tenant", "query", "typo"], ["term", "score", "distance"])
+    return _ranked(hits, requests, ["tenant", "query", "typo"], ["term", "score", "distance"], most)
