@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.validate import judged
 from ..operators.dictionary import capped_sum, weight_or_one
 from ..plans.store import Store, stream_batch
-from ..schema import FREQUENCY_CAP, OP_LOG, Config
+from ..schema import DICTIONARY, FREQUENCY_CAP, OP_LOG, Config
 from ..sources.terms import json_input
 
 
@@ -85,3 +85,21 @@ def running_dictionary(ops: DataFrame) -> DataFrame:
     The state of a term is its sum and its last reset. Built-in aggregates cannot undo a
     sum at a delete, so this is a grouped map with state."""
     return ops.groupBy("tenant", "term").applyInPandasWithState(_fold_key, _CHANGED, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def write_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows that each micro-batch changes under the batch's number, over all
+    that is there now; one that runs again replaces what it wrote."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    writer = changes.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def latest(spark, path: str) -> DataFrame:
+    """The dictionary that changes lead to: each term's last row, without deleted terms."""
+    rows = spark.read.schema(DICTIONARY + ", number bigint").parquet(path)
+    last = rows.groupBy("tenant", "term").agg(F.max_by(F.struct("frequency"), "number").alias("l"))
+    return last.select("tenant", "term", "l.frequency").where("frequency is not null")
