@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session gets a
+    temporary one; on a cluster, whose executors share no local folder, it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the executors share")
         path = tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", path)
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -77,10 +84,65 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+class Cache(dict):
+    """A worker's cache, bounded in bytes by a rough count of what its entries take; a full
+    one is emptied, and a key longer than a hundredth of the bound is not kept."""
+
+    def __init__(self, bound: int, each: int):
+        super().__init__()
+        self.bound, self.each, self.left = bound, each, bound
+
+    def keep(self, key, value, size: int) -> None:
+        """Stores an entry whose key and value have ``size`` bytes."""
+        if 100 * size > self.bound:
+            return
+        if self.left < size + self.each:
+            self.clear()
+            self.left = self.bound
+        self.left -= size + self.each
+        self[key] = value
+
+
+_emptied: dict[str, Callable[[], None]] = {}
+_served: list[str] = []
+
+
+def on_leaving(operator: str, empty: Callable[[], None]) -> None:
+    """States how to drop what an operator keeps in a worker process between tasks."""
+    _emptied[operator] = empty
+
+
+def enter(operator: str) -> None:
+    """A task's first step. Worker processes serve one operator after the other; what the
+    others cached is dropped, and freed memory goes back to the system."""
+    if _served != [operator]:
+        for name, empty in _emptied.items():
+            if name != operator:
+                empty()
+        _served[:] = [operator]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of files that a block of documents may stand for.
+BLOCK_BYTES = 64_000_000
+
+
+def blocks(docs: DataFrame) -> int:
+    """Into how many blocks, each a task's work, documents are dealt: as many as shuffle
+    partitions, and more where these would outgrow a task by the size of the tables read
+    (a table of unknown size does not count)."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return max(partitions(docs.sparkSession), sum(n for n in sizes if n < 2**60) // BLOCK_BYTES)
+
+
 def whole_text(column: str = "text") -> F.Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -9,33 +9,42 @@ Given the model, a byte's cost depends on it and the 5 bytes before, so the corp
 scored in four steps, none of which holds the model or the corpus in one place:
 
 1. rows are dealt into blocks by a hash; each block gives its distinct 6-byte strings
-   and words with their counts in training texts (a shared table, pre-aggregated);
-2. counts are summed by string. The contexts of orders 3 to 5 of a string end in the same
-   three bytes, so its costs need only the strings that share these: at most 256 ** 3, and
-   groups are made of whole such sets. Orders 0 to 2, at most 256 ** 3 counts (some tens
-   of thousands in text), go to every task;
-3. each block gets the costs of its own strings back;
+   and words with their counts in training texts, packed and cut into ranges (a shared table);
+2. counts are summed by range, in chunks of blocks first, so a frequent context brings no
+   more than its distinct strings a chunk. The contexts of orders 3 to 5 of a string end
+   in the same three bytes and a range has all strings of such three, so their costs need
+   this range alone. Orders 0 to 2 go to every task: at most 256 ** 3 counts, 12 bytes each,
+   some hundred thousand in text;
+3. each block gets the costs of its own strings back, in its own order;
 4. texts are scored block by block, in slices of bounded size.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, whole_text
+from .common import blocks, enter, materialize, whole_text
 
 ORDER = 5
 END, PAD = b"\xff", b"\xfe"  # no UTF-8 text holds these bytes
 SYMBOLS = 255  # all bytes but the padding
 SLICE_BYTES = 500_000
+#: Blocks whose counts of a range are summed in one group.
+CHUNK_BLOCKS = 2048
+#: Kinds of packed rows: 6-byte strings, words, 3-byte strings.
+GRAMS, WORDS, LOW = 0, 1, 2
+PACKED = "block long, kind int, range int, chunk long, keys binary, numbers binary"
+_PACKED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("numbers", pa.binary())])
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = [(1 << 8 * (k + 1)) - 1 for k in range(ORDER + 1)]
@@ -117,8 +126,68 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[new], np.add.reduceat(counts, new)
 
 
-def block_counts(block: pa.Table) -> pa.Table:
-    """Distinct strings and words of a block, with their counts in training texts."""
+def pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as many bytes each as the largest takes, plane by plane."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<i8")[:, 0]
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=0))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob))
+
+
+def pack_costs(costs: np.ndarray) -> bytes:
+    """Few costs differ: the different ones, and which of them each is."""
+    kinds, which = np.unique(costs, return_inverse=True)
+    return len(kinds).to_bytes(8, "little") + kinds.tobytes() + pack(which)
+
+
+def unpack_costs(blob: bytes) -> np.ndarray:
+    end = 8 + 8 * int.from_bytes(blob[:8], "little")
+    return np.frombuffer(blob[8:end], np.float64)[unpack(blob[end:])]
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpack_words(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)] if rows else [[]] * len(_PACKED), schema=_PACKED)
+
+
+def _cut(order: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places) of each range; ``order`` sorts by range first."""
+    ranked = ranges[order]
+    new = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(order) else np.empty(0, np.int64)
+    for at, end in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=False):
+        yield int(ranked[at]), order[at:end]
+
+
+def gram_ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """The range of each string: a hash of the last three bytes of its context."""
+    context = (keys >> 8 & 0xFFFFFF).astype(np.uint64)
+    return (((context * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def block_counts(block: pa.Table, n_ranges: int) -> pa.Table:
+    """Distinct strings and words of a block by range, with their counts in training texts,
+    and the counts of its 3-byte strings there."""
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     words: Counter = Counter()
     for held in (False, True):
@@ -134,20 +203,55 @@ def block_counts(block: pa.Table) -> pa.Table:
                 words.update(dict.fromkeys(found, 0) if held else found)
     keys, counts = _merge(grams)
     number = block.column("block")[0].as_py()
-    n = len(keys) + len(words)
-    return pa.table(
-        {
-            "block": pa.array(np.full(n, number, np.int64)),
-            "gram": pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(len(words), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(list(words), pa.binary())]),
-            "n": pa.array(np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words))]), pa.int64()),
-        }
-    )
+    chunk = number // CHUNK_BLOCKS
+    ranges = gram_ranges(keys, n_ranges)
+    rows = [(number, GRAMS, r, chunk, pack_sorted(keys[at]), pack(counts[at])) for r, at in _cut(np.argsort(ranges, kind="stable"), ranges)]
+    names = list(words)
+    numbers = np.fromiter(words.values(), np.int64, len(names))
+    ranges = np.fromiter((zlib.crc32(w) % n_ranges for w in names), np.int64, len(names))
+    rows += [(number, WORDS, r, chunk, pack_words([names[k] for k in at.tolist()]), pack(numbers[at])) for r, at in _cut(np.argsort(ranges, kind="stable"), ranges)]
+    low, low_counts = _merge([(keys[counts > 0] & _MASK[2], counts[counts > 0])])
+    return _rows([*rows, (number, LOW, 0, chunk, pack_sorted(low), pack(low_counts))])
+
+
+def summed(group: pa.Table) -> pa.Table:
+    """One row for the rows of a kind and range: distinct keys with their counts added."""
+    kind, range_, chunk = (group.column(c)[0].as_py() for c in ("kind", "range", "chunk"))
+    pairs = zip(group.column("keys"), group.column("numbers"), strict=True)
+    if kind == GRAMS:
+        keys, counts = _merge([(unpack_sorted(k.as_py()), unpack(c.as_py())) for k, c in pairs])
+        return _rows([(0, kind, range_, chunk, pack_sorted(keys), pack(counts))])
+    words: Counter = Counter()
+    for k, c in pairs:
+        for word, n in zip(unpack_words(k.as_py()), unpack(c.as_py()).tolist(), strict=True):
+            words[word] += n
+    return _rows([(0, kind, range_, chunk, pack_words(list(words)), pack(np.fromiter(words.values(), np.int64, len(words))))])
+
+
+def answered(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """The costs of each block's strings and the counts of its words, of one kind and range."""
+    if not asked.num_rows:  # none of the chunk's blocks has a string of this range
+        return _rows([])
+    keys, numbers = (known.column(c)[0].as_py() for c in ("keys", "numbers"))
+    rows = []
+    if known.column("kind")[0].as_py() == GRAMS:
+        every, costs = unpack_sorted(keys), unpack_costs(numbers)
+    else:
+        count_of = dict(zip(unpack_words(keys), unpack(numbers).tolist(), strict=True))
+    for block, kind, range_, chunk, mine in zip(*[asked.column(c).to_pylist() for c in ("block", "kind", "range", "chunk", "keys")], strict=True):
+        if kind == GRAMS:
+            reply = pack_costs(costs[np.searchsorted(every, unpack_sorted(mine))])
+        else:
+            words = unpack_words(mine)
+            reply = pack(np.fromiter((count_of[w] for w in words), np.int64, len(words)))
+        rows.append((block, kind, range_, chunk, mine, reply))
+    return _rows(rows)
 
 
 def low_orders(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Orders 2 to 0 from the training counts of three-byte strings, in key order. What is
     kept by context has one place for each possible context."""
+    keys = keys.astype(np.int64)
     one = np.zeros((256, 256), np.int64)
     np.add.at(one, (keys >> 8 & 255, keys & 255), counts)
     zero = one.sum(axis=0)
@@ -176,6 +280,7 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nda
 def group_costs(grams: np.ndarray, n: np.ndarray, low: dict[str, np.ndarray]) -> np.ndarray:
     """log10 costs of strings, given all strings whose contexts end in the same three
     bytes as theirs, and the low orders."""
+    keys, counts = grams[n > 0], n[n > 0]
     cost = np.zeros(len(grams))
     waiting = np.ones(len(grams), bool)
     out_total = np.zeros(len(grams))  # count, and number, of the symbols excluded
@@ -194,7 +299,6 @@ def group_costs(grams: np.ndarray, n: np.ndarray, low: dict[str, np.ndarray]) ->
         waiting[hit] = False
         out_total[miss], out_kinds[miss] = after[miss], kinds[miss]
 
-    keys, counts = _merge([(grams[n > 0], n[n > 0])])
     for k in range(ORDER, 2, -1):
         if k > 3:
             below, below_counts = _merge([(keys & _MASK[k - 1], counts)])
@@ -219,18 +323,20 @@ def group_costs(grams: np.ndarray, n: np.ndarray, low: dict[str, np.ndarray]) ->
     return cost
 
 
-def _score_block(docs: pa.Table, costs: pa.Table, totals: tuple[int, int, int]) -> pa.Table:
+def _score_block(docs: pa.Table, replies: pa.Table, totals: tuple[int, int, int]) -> pa.Table:
     train_tokens, kinds, train_docs = totals
-    is_gram = pa.compute.is_valid(costs.column("gram"))
-    grams = costs.filter(is_gram)
-    keys = grams.column("gram").to_numpy()
-    values = grams.column("value").to_numpy()
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    known: dict[bytes, int] = {}
+    for kind, keys_blob, reply in zip(replies.column("kind").to_pylist(), replies.column("keys"), replies.column("numbers"), strict=True):
+        if kind == GRAMS:
+            parts.append((unpack_sorted(keys_blob.as_py()), unpack_costs(reply.as_py())))
+        else:
+            known.update(x for x in zip(unpack_words(keys_blob.as_py()), unpack(reply.as_py()).tolist(), strict=True) if x[1])
+    keys, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    del grams, order
-    rest = costs.filter(pa.compute.invert(is_gram))
-    known = dict(zip((w.as_py() for w in rest.column("word")), rest.column("value").to_numpy().tolist(), strict=True))
-    del rest, costs, is_gram
+    del order
     scale = train_tokens + 0.5 * (kinds + 1)
     n_tokens, n_known, base, score = [], [], [], []
     for _, texts in _slices(docs.column("text")):
@@ -271,48 +377,76 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     of its (doc_id, text) hash, so a frequent id is spread by its texts.
     """
     spark = docs.sparkSession
-    blocks = partitions(spark)
+    n = blocks(docs)
     text = whole_text()
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.cast("binary").alias("text"),
         (held_out if held_out is not None else held_out_fold(F.col("doc_id"))).alias("held_out"),
-        F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("long").alias("block"),
-    )
-    counted = materialize(
-        rows.groupBy("block").applyInArrow(block_counts, "block long, gram long, word binary, n long"), "ppm-counts"
-    )
-    grams = counted.where("gram is not null")
-    words = materialize(
-        counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "ppm-words"
+        F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("long").alias("block"),
     )
-    train_docs = rows.where(~F.col("held_out")).count()
-    size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    totals = (size["n"] + train_docs, size["v"] + (train_docs > 0), train_docs)
-    # at most 256 ** 3 rows of two numbers
-    short = grams.where("n > 0").groupBy(F.expr("gram & 16777215").alias("p")).agg(F.sum("n").alias("n")).toArrow()
-    low = low_orders(*_merge([(short.column("p").to_numpy(), short.column("n").to_numpy())]))
-    low_everywhere = spark.sparkContext.broadcast(low)
-
-    def costs(group: pa.Table) -> pa.Table:
-        keys = group.column("gram").to_numpy()
-        order = np.argsort(keys)
-        keys, n = keys[order], group.column("n").to_numpy()[order]
-        return pa.table({"gram": keys, "value": group_costs(keys, n, low_everywhere.value)})
-
-    summed = grams.groupBy("gram").agg(F.sum("n").alias("n"))
-    priced = summed.groupBy(F.pmod(F.hash(F.expr("shiftright(gram, 8) & 16777215")), F.lit(4 * blocks))).applyInArrow(costs, "gram long, value double")
-    none = F.lit(None)
-    asked = grams.select("block", "gram").join(priced, "gram").select("block", "gram", none.cast("binary").alias("word"), "value")
-    heard = (
-        counted.where("word is not null").select("block", "word").join(words, "word")
-        .select("block", none.cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
-    )
-    answers = asked.unionByName(heard)
+
+    def counts(block: pa.Table) -> pa.Table:
+        enter("ppm")
+        return block_counts(block, n)
+
+    asked = materialize(rows.groupBy("block").applyInArrow(counts, PACKED), "ppm-asked")
+    low_everywhere = spark.sparkContext.broadcast(_low_counts(asked))
+    low_of: list[dict] = []
+
+    def price(group: pa.Table) -> pa.Table:
+        enter("ppm")
+        sums = summed(group)
+        if sums.column("kind")[0].as_py() != GRAMS:
+            return sums
+        if not low_of:
+            low_of.append(low_orders(*low_everywhere.value))
+        keys, counts = unpack_sorted(sums.column("keys")[0].as_py()), unpack(sums.column("numbers")[0].as_py())
+        return sums.set_column(5, _PACKED.field(5), pa.array([pack_costs(group_costs(keys, counts, low_of[0]))], pa.binary()))
+
+    ranged = asked.where(F.col("kind") != LOW)
+    by_chunk = ranged.groupBy("kind", "range", "chunk")
+    priced = materialize(by_chunk.applyInArrow(summed, PACKED).groupBy("kind", "range").applyInArrow(price, PACKED), "ppm-priced")
+    train_docs = rows.where("held_out = false").count()
+    tokens, kinds = _word_totals(priced)
+    totals = (tokens + train_docs, kinds + (train_docs > 0), train_docs)
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CHUNK_BLOCKS)).cast("array<long>"))
+    known = priced.drop("chunk").withColumn("chunk", chunks).select(*asked.columns)
+    replies = by_chunk.cogroup(known.groupBy("kind", "range", "chunk")).applyInArrow(answered, PACKED)
+
+    def finish(texts: pa.Table, reply: pa.Table) -> pa.Table:
+        enter("ppm")
+        return _score_block(texts, reply, totals)
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda d, c: _score_block(d, c, totals), schema
-    )
+    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+
+
+def _low_counts(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of all 3-byte strings, at most 256 ** 3."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack_sorted(k.as_py())), pa.array(unpack(c.as_py()))], ["p", "n"])
+
+    found = asked.where(F.col("kind") == LOW).select("keys", "numbers").mapInArrow(each, "p long, n long")
+    short = found.groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = _merge([(short.column("p").to_numpy(), short.column("n").to_numpy())])
+    return keys.astype(np.uint32), counts
+
+
+def _word_totals(priced: DataFrame) -> tuple[int, int]:
+    """Training words, and different ones."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [unpack(c.as_py()) for c in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], ["n", "v"])
+
+    sums = priced.where(F.col("kind") == WORDS).select("numbers").mapInArrow(each, "n long, v long")
+    row = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    return row["n"], row["v"]
 
 
 def adaptive(docs: DataFrame) -> DataFrame:
