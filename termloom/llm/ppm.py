@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, enter, materialize, whole_text
+from .common import blocks, enter, materialize, ship_code, whole_text
 
 ORDER = 5
 END, PAD = b"\xff", b"\xfe"  # no UTF-8 text holds these bytes
@@ -377,6 +377,7 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     of its (doc_id, text) hash, so a frequent id is spread by its texts.
     """
     spark = docs.sparkSession
+    ship_code(spark)
     n = blocks(docs)
     text = whole_text()
     rows = docs.select(
@@ -451,7 +452,10 @@ def _word_totals(priced: DataFrame) -> tuple[int, int]:
 
 def adaptive(docs: DataFrame) -> DataFrame:
     """``(doc_id, score)``: each text scored by a model that learns from it alone, byte
-    by byte, so the score falls with a text's own repetition. No shuffle."""
+    by byte, so the score falls with a text's own repetition. Null texts are empty, repeated
+    rows and null ids are scored each, an empty table gives an empty result. No shuffle; a
+    text costs time and memory in proportion to its length, in pure Python."""
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange
+from .common import enter, on_leaving, ship_code
 from .exchange import Gathered
-from .words import window_hashes, word_hashes
+from .words import forget_words, window_hashes, word_hashes
 
 WINDOW_WORDS = 13
 
+on_leaving("substrings", forget_words)
+
 
 def lengths(size: int) -> list[int]:
     """The window lengths, each at most twice the one before, ending with ``size``."""
@@ -56,52 +59,56 @@ class _Words:
         return exchange.rolling(window_hashes(self.h, short), size - short + 1, np.minimum)
 
 
-def _candidates(words: _Words, steps: list[int], level: int, known: np.ndarray) -> np.ndarray:
+def _candidates(words: _Words, steps: list[int], level: int, known: np.ndarray, bits: int) -> np.ndarray:
     """Which windows of ``steps[level]`` may be shared, by what is shared one level below."""
     size, short = steps[level], steps[level - 1]
     good = words.whole(size)
     if level == 1:
-        return good & exchange.has(known, words.smallest(short, size))
-    shared = exchange.has(known, window_hashes(words.h, short))
+        return good & exchange.has(known, exchange.coarse(words.smallest(short, size), bits))
+    shared = exchange.has(known, exchange.coarse(window_hashes(words.h, short), bits))
     n = len(good)
     return good & shared[:n] & shared[size - short : size - short + n]
 
 
-def _shared(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def _shared(docs: DataFrame, size: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """The blocks, and for each block its windows of ``size`` that several ids have."""
     rows = exchange.in_blocks(docs)
-    bits = exchange.bucket_bits(docs)
     steps = lengths(size)
 
     def first(block: pa.Table) -> pa.Table:
+        enter("substrings")
         out = Gathered()
         for ids, texts in exchange.slices(block):
             words = _Words(ids, texts)
             if len(steps) == 1:
                 keys, good = window_hashes(words.h, size), words.whole(size)
             else:
-                keys, good = words.smallest(steps[0], steps[1]), words.whole(steps[1])
+                keys, good = exchange.coarse(words.smallest(steps[0], steps[1]), bits), words.whole(steps[1])
             out.add(keys[good], words.ids[: len(good)][good])
         return exchange.packed(block.column("block")[0].as_py(), out, bits, len(steps) == 1)
 
-    found = exchange.first_pass(rows, first)
+    found = exchange.first_pass(rows, first, bits)
 
     def longer(level: int):
+        last = level == len(steps) - 1
+
         def emit(block: pa.Table, known: pa.Table) -> pa.Table:
+            enter("substrings")
             out = Gathered()
-            keys, _ = exchange.answers(known)
+            keys, _ = exchange.answers(known, bits)
             if not len(keys) or not block.num_rows:
                 return exchange.NOTHING
             for ids, texts in exchange.slices(block):
                 words = _Words(ids, texts)
-                good = _candidates(words, steps, level, keys)
-                out.add(window_hashes(words.h, steps[level])[good], words.ids[: len(good)][good])
-            return exchange.packed(block.column("block")[0].as_py(), out, bits, level == len(steps) - 1)
+                good = _candidates(words, steps, level, keys, bits)
+                found = window_hashes(words.h, steps[level])[good]
+                out.add(found if last else exchange.coarse(found, bits), words.ids[: len(good)][good])
+            return exchange.packed(block.column("block")[0].as_py(), out, bits, last)
 
         return emit
 
     for level in range(1, len(steps)):
-        found = exchange.next_pass(rows, found, longer(level))
+        found = exchange.next_pass(rows, found, longer(level), bits)
     return rows, found
 
 
@@ -118,10 +125,13 @@ def _removed(words: _Words, size: int, keys: np.ndarray, least: np.ndarray) -> n
 
 
 def _kept(docs: DataFrame, size: int, finish, schema: str) -> DataFrame:
-    rows, found = _shared(docs, size)
+    ship_code(docs.sparkSession)
+    bits = exchange.bucket_bits(docs)
+    rows, found = _shared(docs, size, bits)
 
     def apply(block: pa.Table, known: pa.Table) -> pa.Table:
-        keys, least = exchange.answers(known)
+        enter("substrings")
+        keys, least = exchange.answers(known, bits)
         parts = []
         for ids, texts in exchange.slices(block):
             words = _Words(ids, texts)

@@ -11,9 +11,11 @@ A suffix array of a whole corpus fits no machine, so only what can be repeated i
 and in independent parts. Each window of 50 bytes stands under the smallest hash of the
 25-byte strings in it (its anchor), so equal windows have equal anchors. Adjacent windows
 under one anchor form a fragment. Anchors that one document alone has are dropped, equal
-fragments are stored once with the smallest id, and the distinct fragments of an anchor
-make one text, whose suffix array brings equal windows together: each gets the smallest
-id of its run. An anchor with one distinct fragment needs no sorting.
+fragments are stored once with the smallest id. Where an anchor has several distinct
+fragments, a hash of each window picks out those that may stand in more than one of them;
+adjacent ones make shorter fragments, and the distinct ones of these make one text, whose
+suffix array brings equal windows together: each gets the smallest id of its run. An anchor
+with one distinct fragment, before or after, needs no sorting.
 
 Fragments are told apart by 64-bit hashes of their whole content, looked up together with
 their anchors' being shared; among 10 ** 12 fragments about one in 10 ** 7 is expected
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
+from .common import enter, on_leaving, ship_code
 from .exchange import Gathered
 from .words import mix, pair
 
 SIZE = 50
 SHORT = 25
+#: Bytes of fragments whose windows are hashed at once.
+PART_BYTES = 500_000
 _FOUND = "block long, bucket long, anchors binary, prints binary, least binary, texts array<binary>"
 _FOUND_TYPES = pa.schema(
     [("block", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("prints", pa.binary()), ("least", pa.binary()), ("texts", pa.list_(pa.binary()))]
@@ -132,10 +137,9 @@ def _split(g, extended, members, group, size, below, above) -> None:
         below[higher] = new
 
 
-def smallest_ids(fragments: list[bytes], ids: list[int], size: int = SIZE) -> list[list[tuple[int, int]]]:
-    """For each of distinct fragments, its windows' smallest ids as runs: (first window,
-    id). Equal windows follow each other in the suffix array of all fragments, joined
-    with a separator below every byte."""
+def smallest_ids(fragments: list[bytes], ids: list[int], size: int = SIZE) -> list[list[int]]:
+    """For each of distinct fragments, its windows' smallest ids. Equal windows follow each
+    other in the suffix array of all fragments, joined with a separator below every byte."""
     letters: list[int] = []
     owner: list[int] = []  # the fragment of the window that starts here; -1 where none does
     starts: list[int] = []
@@ -159,12 +163,66 @@ def smallest_ids(fragments: list[bytes], ids: list[int], size: int = SIZE) -> li
                 least[owner[j]][j - starts[owner[j]]] = smallest
             run, last = [], window
         run.append(i)
+    return least
+
+
+def contested(families: list[int], fragments: list[bytes], size: int = SIZE) -> list[list[tuple[int, int]]]:
+    """For each fragment, the runs (first, last) of windows whose hash another fragment of
+    its family has too; a window that is in two fragments is always in such a run."""
+    lengths = np.array([len(f) for f in fragments], np.int64)
+    data = b"".join(fragments) + bytes(8)
+    n = len(data) - 8
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    half = _byte_hashes(data, n, 32)
+    step = size - 32
+    keys = pair(pair(half[:-step], half[step:]), np.array(families, np.uint64)[owner[: n - size + 1]])
+    whole = np.flatnonzero(np.arange(len(keys)) + size <= np.cumsum(lengths)[owner[: len(keys)]])
+    order = whole[np.argsort(keys[whole], kind="stable")]
+    new = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+    holders = owner[order]
+    several = np.minimum.reduceat(holders, new) != np.maximum.reduceat(holders, new)
+    marked = np.zeros(len(keys) + 1, bool)
+    marked[order] = np.repeat(several, np.diff(np.r_[new, len(order)]))
+    joined = marked[1:] & marked[:-1]
+    joined[:-1] &= owner[1 : len(keys)] == owner[: len(keys) - 1]
+    firsts = np.flatnonzero(marked[:-1] & ~np.r_[False, joined[:-1]])
+    lasts = np.flatnonzero(marked[:-1] & ~joined)
+    out: list[list[tuple[int, int]]] = [[] for _ in fragments]
+    starts = np.cumsum(lengths) - lengths
+    for k, a, b in zip(owner[firsts].tolist(), (firsts - starts[owner[firsts]]).tolist(), (lasts - starts[owner[firsts]]).tolist(), strict=True):
+        out[k].append((a, b))
+    return out
+
+
+def smallest_runs(families: list[int], fragments: list[bytes], ids: list[int], size: int = SIZE) -> list[list[tuple[int, int]]]:
+    """For each of fragments that are distinct in their family, its windows' smallest ids
+    in the family as runs: (first window, id)."""
+    least = [[i] * (len(f) - size + 1) for f, i in zip(fragments, ids, strict=True)]
+    places: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    for k, runs in enumerate(contested(families, fragments, size)):
+        for a, b in runs:
+            places[families[k]][fragments[k][a : b + size]].append((k, a))
+    for shorter in places.values():
+        texts = list(shorter)
+        firsts = [min(ids[k] for k, _ in shorter[t]) for t in texts]
+        found = smallest_ids(texts, firsts, size) if len(texts) > 1 else [firsts * (len(texts[0]) - size + 1)]
+        for text, row in zip(texts, found, strict=True):
+            for k, a in shorter[text]:
+                least[k][a : a + len(row)] = row
     return [[(k, x) for k, x in enumerate(row) if not k or row[k - 1] != x] for row in least]
 
 
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
+def _no_powers() -> None:
+    global _powers
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+on_leaving("suffixes", _no_powers)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64, up to n."""
     global _powers
@@ -285,6 +343,7 @@ def _reply(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Tab
 def _smallest_by_print(range_: pa.Table) -> pa.Table:
     """Answers each block with the smallest id of each of its fragments; those of an
     anchor with several are marked for sorting, and one block is to send each text."""
+    enter("suffixes")
     prints, anchors, least = _joined(range_, "prints", "anchors", "least")
     sizes = np.array([len(x) // 8 for x in range_.column("prints").to_pylist()])
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -306,49 +365,76 @@ def _smallest_by_print(range_: pa.Table) -> pa.Table:
 
 
 def _smallest_by_window(range_: pa.Table) -> pa.Table:
-    """Sorts the suffixes of each anchor's fragments and answers each block with the
-    smallest ids of its fragments' windows."""
-    families: dict[int, dict[int, tuple[bytes, int]]] = defaultdict(dict)
+    """Sorts the suffixes of each anchor's fragments, some anchors at a time, and answers
+    each block with the smallest ids of its fragments' windows."""
+    enter("suffixes")
+    sent: dict[int, tuple[int, bytes, int]] = {}
     held = []
-    for block, a, p, x, texts in zip(*[range_.column(c).to_pylist() for c in ("block", "anchors", "prints", "least", "texts")], strict=True):
-        prints = np.frombuffer(p, np.uint64)
-        held.append((block, prints))
-        for anchor, print_, least, text in zip(np.frombuffer(a, np.uint64).tolist(), prints.tolist(), exchange.unpack_ids(x, len(prints)).tolist(), texts, strict=True):
+    for block, a, p, x, texts in zip(*[range_.column(c) for c in ("block", "anchors", "prints", "least", "texts")], strict=True):
+        prints = np.frombuffer(p.as_py(), np.uint64)
+        held.append((block.as_py(), prints))
+        for anchor, print_, least, text in zip(np.frombuffer(a.as_py(), np.uint64).tolist(), prints.tolist(), exchange.unpack_ids(x.as_py(), len(prints)).tolist(), texts.as_py(), strict=True):
             if text is not None:
-                families[anchor][print_] = (text, least)
-    runs: dict[int, list[tuple[int, int]]] = {}
-    for family in families.values():
-        found = smallest_ids([t for t, _ in family.values()], [i for _, i in family.values()])
-        runs.update(zip(family, found, strict=True))
+                sent[print_] = (anchor, text, least)
+    order = sorted(sent, key=lambda k: sent[k][0])
+    counts, offsets, ids = [], [], []
+    for part in _parts([sent[k] for k in order]):
+        for runs in smallest_runs(*map(list, zip(*part, strict=True))):
+            counts.append(len(runs))
+            offsets += [o for o, _ in runs]
+            ids += [i for _, i in runs]
+    place = np.argsort(np.array(order, np.uint64))
+    known = np.array(order, np.uint64)[place]
+    sizes = np.array(counts, np.int64)
+    starts, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+    every_offset, every_id = np.array(offsets, np.int64), np.array(ids, np.int64)
     rows = []
     for block, prints in held:
-        entries = [(p, o, i) for p in prints.tolist() for o, i in runs[p]]
-        rows.append((block, np.array([e[0] for e in entries], np.uint64), np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64)))
+        at = np.searchsorted(known, prints)
+        n = sizes[at]
+        take = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append((block, np.repeat(prints, n), every_offset[take], every_id[take]))
     return _reply(rows)
 
 
+def _parts(fragments: list[tuple[int, bytes, int]]) -> Iterator[list[tuple[int, bytes, int]]]:
+    """Fragments, sorted by anchor, in parts of whole anchors and about PART_BYTES."""
+    part, size = [], 0
+    for f in fragments:
+        if size > PART_BYTES and f[0] != part[-1][0]:
+            yield part
+            part, size = [], 0
+        part.append(f)
+        size += len(f[1])
+    if part:
+        yield part
+
+
 def _shared_fragments(rows: DataFrame, bits: int) -> DataFrame:
     """For each block, (print, first window, smallest id) of its shared fragments."""
 
     def anchors(block: pa.Table) -> pa.Table:
+        enter("suffixes")
         out = Gathered()
         for ids, texts in exchange.slices(block):
             f = _Fragments(ids, texts, SIZE, SHORT)
-            out.add(f.anchors, f.ids)
+            out.add(exchange.coarse(f.anchors, bits), f.ids)
         return exchange.packed(block.column("block")[0].as_py(), out, bits, False)
 
     def fragments(block: pa.Table, known: pa.Table) -> pa.Table:
-        keys, _ = exchange.answers(known)
+        enter("suffixes")
+        keys, _ = exchange.answers(known, bits)
         if not len(keys):
             return _FOUND_TYPES.empty_table()
         out = _Distinct()
         for ids, texts in exchange.slices(block):
             f = _Fragments(ids, texts, SIZE, SHORT)
-            good = exchange.has(keys, f.anchors)
+            good = exchange.has(keys, exchange.coarse(f.anchors, bits))
             out.add(f.prints[good], f.anchors[good], f.ids[good])
         return _found(block.column("block")[0].as_py(), bits, *out.merged())
 
-    def contested(block: pa.Table, reply: pa.Table) -> pa.Table:
+    def texts_asked(block: pa.Table, reply: pa.Table) -> pa.Table:
+        enter("suffixes")
         if not reply.num_rows:
             return _FOUND_TYPES.empty_table()
         prints, offsets, least = _joined(reply, "prints", "offsets", "least")
@@ -368,11 +454,11 @@ def _shared_fragments(rows: DataFrame, bits: int) -> DataFrame:
                     found[at] = f.text(k, SIZE) if send[at] else None
         return _found(block.column("block")[0].as_py(), bits, prints, anchors, least, found)
 
-    shared = exchange.first_pass(rows, anchors)
+    shared = exchange.first_pass(rows, anchors, bits)
     by_block = rows.groupBy("block")
     asked = by_block.cogroup(shared.groupBy("block")).applyInArrow(fragments, _FOUND)
     reply = asked.groupBy("bucket").applyInArrow(_smallest_by_print, _REPLY)
-    sent = by_block.cogroup(reply.groupBy("block")).applyInArrow(contested, _FOUND)
+    sent = by_block.cogroup(reply.groupBy("block")).applyInArrow(texts_asked, _FOUND)
     return reply.unionByName(sent.groupBy("bucket").applyInArrow(_smallest_by_window, _REPLY))
 
 
@@ -395,10 +481,12 @@ def _removed(f: _Fragments, prints: np.ndarray, offsets: np.ndarray, least: np.n
 
 
 def _apply(docs: DataFrame, finish, schema, carry: list | None = None) -> DataFrame:
+    ship_code(docs.sparkSession)
     rows = exchange.in_blocks(docs, carry)
     found = _shared_fragments(rows, exchange.bucket_bits(docs))
 
     def apply(block: pa.Table, reply: pa.Table) -> pa.Table:
+        enter("suffixes")
         if reply.num_rows:
             prints, offsets, least = _joined(reply, "prints", "offsets", "least")
             good = np.flatnonzero(offsets >= 0)

@@ -5,21 +5,27 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Entries a worker keeps; a full cache is emptied, so memory is bounded.
-CACHE_ENTRIES = 600_000
+from .common import Cache
 
+#: Bytes of word hashes that a worker keeps.
+CACHE_BYTES = 32_000_000
 
-class WordHashes(dict):
+
+class WordHashes(Cache):
     """Word (bytes) -> its 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        self.keep(word, value, len(word))
         return value
 
 
-_hashes = WordHashes()
+_hashes = WordHashes(CACHE_BYTES, 160)
+
+
+def forget_words() -> None:
+    _hashes.clear()
+    _hashes.left = _hashes.bound
 
 
 def word_hashes(text: str | bytes) -> np.ndarray:
