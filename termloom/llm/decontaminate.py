@@ -6,8 +6,16 @@ document less place in the item) at most k apart. So shared q-grams are counted
 bands of 2 (k + 1) diagonals that overlap by half; a band that reaches the bound is
 aligned, inside the band only, and reported if the edits are within the budget.
 
+Repeated q-grams are not paired place by place: equal ones at most q bytes apart make a run,
+in items those that share a band, and a run of a document with a run of an item adds to a range of bands at once, by
+two entries of a difference array, no less than their pairs would. What that counts too
+much the alignment turns down; equal regions are aligned once.
+
 Bytes are compared with A-Z lowered and line breaks and tabs as spaces. An item too short for
-the lemma has a smaller budget, down to exact containment; an empty item matches nothing.
+the lemma has a smaller budget, down to exact containment; one shorter than a q-gram has to
+stand between word borders; an empty item matches nothing. Time for a text grows with its
+length times the items that share its q-grams; an alignment takes the item's length
+times its budget, so items of a megabyte are found fast only without edits.
 """
 
 from __future__ import annotations
@@ -15,12 +23,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import enter, on_leaving, ship_code, whole_text
 
 Q = 12
 #: Edits allowed, as a share of an item's bytes.
@@ -53,13 +62,23 @@ def budget(m: int) -> int:
     return max(0, min(int(EDIT_RATE * m), (m - Q) // Q))
 
 
+def is_word(data: bytes, at: int) -> bool:
+    """Whether a letter, a digit or part of a character beyond ASCII stands there."""
+    return 0 <= at < len(data) and (data[at] >= 128 or chr(data[at]).isalnum())
+
+
 class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
         self.texts = [fold(t) for _, t in items]
-        self.short = [at for at, t in enumerate(self.texts) if 0 < len(t) < Q]
+        self.short = ahocorasick.Automaton()
+        for at, t in enumerate(self.texts):
+            if 0 < len(t) < Q:
+                key = t.decode("latin-1")
+                self.short.add_word(key, (len(t), [*self.short.get(key, (0, []))[1], at]))
+        self.short.make_automaton()
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.budgets = np.array([budget(m) for m in sizes], np.int64)
         self.least = np.maximum(1, sizes + 1 - Q - Q * self.budgets)
@@ -67,19 +86,23 @@ class Index:
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, np.int64)])
         every = np.concatenate(grams or [np.empty(0, np.uint64)])
-        order = np.argsort(every, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.keys, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        order = np.lexsort((place, owner, every))
+        every, owner, place = every[order], owner[order], place[order]
+        same = (every[1:] == every[:-1]) & (owner[1:] == owner[:-1])
+        new = np.flatnonzero(np.r_[np.ones(min(1, len(every)), bool), ~same | (place[1:] - place[:-1] > self.budgets[owner[1:]] + 1)])
+        last = np.r_[new[1:], len(every)][: len(new)] - 1
+        self.owner, self.from_, self.to, self.size = owner[new], place[new], place[last], last - new + 1
+        self.keys, self.first, self.count = np.unique(every[new], return_index=True, return_counts=True)
         bits = max(20, int(len(self.keys)).bit_length() + 4)
         self.shift = np.uint64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
         self.filter[self.keys >> self.shift] = True
 
-    def bands(self, data: bytes, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, item, band) that reach the item's bound. ``starts``: where each
-        document starts in ``data``, and the end."""
+    def bands(self, data: bytes, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first band, last band) that may reach the item's bound.
+        ``starts``: where each document starts in ``data``, and the end."""
         if not len(self.keys):
-            return []
+            return
         h = qgram_hashes(data)
         at = np.flatnonzero(self.filter[h >> self.shift])
         row = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
@@ -88,42 +111,67 @@ class Index:
         doc = np.searchsorted(starts, at, "right") - 1
         good = at + Q <= starts[doc + 1]
         at, row, doc = at[good], row[good], doc[good]
-        n = self.count[row]
-        take = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item = self.owner[take]
-        diagonal = np.repeat(at, n) - self.place[take] + (1 << 30)
-        doc = np.repeat(doc, n)
-        band = diagonal // (self.budgets[item] + 1)
-        key = np.concatenate([band, band - 1])
+        if not len(at):
+            return
+        order = np.lexsort((at, row, doc))
+        at, row, doc = at[order], row[order], doc[order]
+        new = np.flatnonzero(np.r_[True, (at[1:] - at[:-1] > Q) | (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])])
+        end = np.r_[new[1:], len(at)] - 1
+        n = self.count[row[new]]
+        take = np.repeat(self.first[row[new]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        from_, to, long = np.repeat(at[new], n), np.repeat(at[end], n), np.repeat(end - new + 1, n)
+        item, doc = self.owner[take], np.repeat(doc[new], n)
+        width = self.budgets[item] + 1
+        lowest = (from_ - self.to[take] + (1 << 40)) // width - 1
+        highest = (to - self.from_[take] + (1 << 40)) // width
+        pairs = np.minimum(self.size[take], np.minimum(self.size[take], 2 * width) * long)
+        place = np.concatenate([lowest, highest + 1])
+        change = np.concatenate([pairs, -pairs])
         item, doc = np.tile(item, 2), np.tile(doc, 2)
-        order = np.lexsort((key, item, doc))
-        key, item, doc = key[order], item[order], doc[order]
-        if not len(key):
-            return []
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])])
-        counts = np.diff(np.r_[new, len(key)])
-        new = new[counts >= self.least[item[new]]]
-        return list(zip(doc[new].tolist(), item[new].tolist(), key[new].tolist(), strict=True))
+        order = np.lexsort((place, item, doc))
+        place, change, item, doc = place[order], change[order], item[order], doc[order]
+        last = np.r_[(place[1:] != place[:-1]) | (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]), True]
+        counts = np.cumsum(change)[last]  # each pair of runs adds and takes away, so groups end at 0
+        place, item, doc = place[last], item[last], doc[last]
+        for k in np.flatnonzero(counts >= self.least[item]).tolist():
+            yield int(doc[k]), int(item[k]), int(place[k]), int(place[k + 1]) - 1
 
     def find(self, data: bytes, starts: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(document, item) -> (edits, end in the document) of its best region."""
         data = fold(data)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for doc, item, band in self.bands(data, starts):
-            if best.get((doc, item), (1,))[0] == 0:
-                continue
-            k = int(self.budgets[item])
-            lo = band * (k + 1) - (1 << 30)
-            found = self.align(data, int(starts[doc]), int(starts[doc + 1]), self.texts[item], lo, lo + 2 * (k + 1), k)
-            if found:
-                best[doc, item] = min(best.get((doc, item), found), found)
-        for item in self.short:
-            for doc in range(len(starts) - 1):
-                place = data.find(self.texts[item], starts[doc], starts[doc + 1])
-                if place >= 0:
-                    best[doc, item] = (0, place + len(self.texts[item]) - int(starts[doc]))
+        of, seen = None, {}
+        for doc, item, first, last in self.bands(data, starts):
+            if of != (doc, item):
+                of, seen = (doc, item), {}
+            start, stop, text, k = int(starts[doc]), int(starts[doc + 1]), self.texts[item], int(self.budgets[item])
+            for band in range(first, last + 1):
+                if best.get(of, (1,))[0] == 0:
+                    break
+                lo = band * (k + 1) - (1 << 40)
+                left, right = lo - k, lo + 3 * k + 2 + len(text)
+                region = data[left:right] if start <= left and right <= stop else None
+                if region is None or region not in seen:  # an equal region before has no more edits
+                    found = self.align(data, start, stop, text, lo, lo + 2 * (k + 1), k)
+                    if found:
+                        best[of] = min(best.get(of, found), found)
+                    if region is not None:
+                        seen[region] = None
+        self._find_short(data, starts, best)
         return best
 
+    def _find_short(self, data: bytes, starts: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        if not len(self.short):
+            return
+        for end, (size, items) in self.short.iter(data.decode("latin-1")):
+            at = end + 1 - size
+            doc = int(np.searchsorted(starts, at, "right")) - 1
+            start, stop = int(starts[doc]), int(starts[doc + 1])
+            inside = end < stop and not (at > start and is_word(data, at) and is_word(data, at - 1))
+            if inside and not (end + 1 < stop and is_word(data, end) and is_word(data, end + 1)):
+                for item in items:
+                    best.setdefault((doc, item), (0, end + 1 - start))
+
     @staticmethod
     def align(data: bytes, start: int, stop: int, item: bytes, lo: int, hi: int, k: int) -> tuple[int, int] | None:
         """The fewest edits that turn the item into some part of data[start:stop], along
@@ -178,6 +226,7 @@ def search(column: pa.Array, index: Index) -> dict[tuple[int, int], tuple[int, i
 
 
 _indexes: dict[str, Index] = {}
+on_leaving("decontaminate", _indexes.clear)
 
 
 def _index(block) -> Index:
@@ -221,11 +270,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts hold nothing, an empty benchmark matches nothing, repeated rows
     are reported each. No shuffle: every task looks its rows up in each block.
     """
+    ship_code(docs.sparkSession)
     kept = docs.select("doc_id", whole_text().alias("text"))
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, item_id long, edits int, end_byte long"
 
     def scan(block: _Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
             index = _index(block)
             for batch in batches:
                 found = sorted(search(batch.column(1), index).items())
@@ -249,12 +300,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns stay as they are."""
+    ship_code(docs.sparkSession)
     names = docs.columns
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), whole_text().alias("_text"))
     schema = out.schema
 
     def keep(block: _Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
             index = _index(block)
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
