@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, whole_text
 
 WINDOW = 8
+#: Words in which different ones are counted; the rest of a text past its last whole part is one more.
+PART = 100
 #: A document below this posterior probability of being good is rejected.
 THRESHOLD = 0.5
 ROUNDS = 60
@@ -37,7 +39,7 @@ RULES = {
     "symbols": ("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
     "repeats": ("n_repeat_words > 0.2 * n_words", "n_words >= 9 and n_repeat_words <= 0.05 * n_words"),
     "lines": ("n_dup_lines > 0.3 * n_lines", "n_lines > 1 and n_dup_lines <= 0.1 * n_lines"),
-    "distinct": ("n_words >= 20 and n_distinct < 0.35 * n_words and n_words < 5000", "n_distinct >= 0.5 * n_words"),
+    "distinct": ("n_words >= 20 and n_distinct < 0.35 * n_words", "n_distinct >= 0.5 * n_words"),
     "stutter": ("n_words >= 5 and n_stutter > 0.15 * n_words", "n_words >= 5 and n_stutter <= 0.05 * n_words"),
     "word_length": ("word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars between 3 * n_words and 8 * n_words"),
     "function_words": ("n_words >= 50 and n_function = 0", "n_function >= 2"),
@@ -77,7 +79,8 @@ def features(docs: DataFrame, carry: list[Column]) -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        # by parts, so that the share of different words does not fall with the length
+        F.expr(f"aggregate(sequence(1, greatest(int(n_words), 1), {PART}), 0L, (a, i) -> a + size(array_distinct(slice(_w, i, {PART}))))").alias("n_distinct"),
         F.expr("if(n_words > 1, size(filter(sequence(1, int(n_words) - 1), i -> _w[i] = _w[i - 1])), 0)").cast("long").alias("n_stutter"),
         F.size(F.array_intersect("_w", function_words)).cast("long").alias("n_function"),
     )
