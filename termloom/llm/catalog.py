@@ -96,17 +96,91 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 OP9_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-v AS (
-  SELECT doc_id, i, x[2 * i - 1:2 * i + 98] AS g FROM (SELECT *, unnest(range(1, length(x) // 2 - 48)) AS i FROM d WHERE length(x) >= 100)
-), f AS (SELECT g, min(doc_id) AS first FROM v GROUP BY g),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM v JOIN f USING (g) WHERE first < doc_id),
-spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS n_spans
-  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
-bytes AS (SELECT doc_id, x[2 * p - 1:2 * p] AS b, p FROM (SELECT *, unnest(range(1, length(x) // 2 + 1)) AS p FROM d)),
-kept AS (SELECT doc_id, string_agg(b, '' ORDER BY p) AS t FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
-SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(t, ''))) AS kept_sha256
-FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+v AS MATERIALIZED (SELECT doc_id, i, hash(x[2 * i - 1:2 * i + 98]) AS h FROM (SELECT *, unnest(range(1, length(x) // 2 - 48)) AS i FROM d WHERE length(x) >= 100)),
+several AS (SELECT h FROM v GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS MATERIALIZED (SELECT doc_id, i, x[2 * i - 1:2 * i + 98] AS g FROM v SEMI JOIN several USING (h) JOIN d USING (doc_id)),
+f AS (SELECT g, min(doc_id) AS first FROM c GROUP BY g),
+gone AS (SELECT doc_id, i FROM c JOIN f USING (g) WHERE first < doc_id),
+marked AS (SELECT *, i - lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) > 50 AS new FROM gone),
+numbered AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 49 AS b FROM numbered GROUP BY doc_id, k),
+ordered AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+kept AS (
+  SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, string_agg(x[2 * before + 1:2 * (a - 1)], '' ORDER BY a) || x[2 * max(b) + 1:] AS t
+  FROM ordered JOIN d USING (doc_id) GROUP BY doc_id, x
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(t, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def ppm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op1, which SQL can express."""
+    base = F.round("base_score", 6).alias("base_score")
+    return op1_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base)
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op5."""
+    return op5_quality(spark, sf_dir).drop("kept")
+
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op6."""
+    return op6_licenses(spark, sf_dir).drop("labels", "score")
+
+
+WORDS_SQL = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PPM_BASE_SQL = f"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))
+), d AS (
+  SELECT doc_id, {WORDS_SQL.format(LOWER_SQL)} AS w,
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 1 AS held_out
+  FROM documents, tab
+), counts AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM d WHERE NOT held_out) GROUP BY x),
+ends AS (SELECT count(*) AS c FROM d WHERE NOT held_out),
+size AS (SELECT coalesce(sum(counts.c), 0) + any_value(ends.c) AS n, count(counts.c) + CAST(any_value(ends.c) > 0 AS INT) AS v, any_value(ends.c) AS e
+  FROM ends LEFT JOIN counts ON true),
+scored AS (
+  SELECT doc_id, count(*) FILTER (WHERE c > 0) AS known, sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))) AS s
+  FROM (SELECT doc_id, unnest(w) AS x FROM d) LEFT JOIN counts USING (x), size GROUP BY doc_id
+)
+SELECT d.doc_id, held_out, CAST(len(w) + 1 AS BIGINT) AS n_tokens, CAST(coalesce(known, 0) + CAST(e > 0 AS INT) AS BIGINT) AS n_known,
+  CAST(n AS BIGINT) AS train_tokens, round(coalesce(s, 0) + log10((e + 0.5) / (n + 0.5 * (v + 1))), 6) AS base_score
+FROM d LEFT JOIN scored USING (doc_id), size
+"""
+
+QUALITY_BASE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL.format("coalesce(text, '')")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+), v AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT *, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, g FROM v GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM v SEMI JOIN twice USING (doc_id, g)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(r, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN covered USING (doc_id)
+"""
+
+LICENSES_BASE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({LOWER_SQL}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), phrases AS (
+  SELECT string_split(p, ' ') AS p, label FROM (VALUES {', '.join(f"('{p}', '{label}')" for p, label in licenses.BASE.items())}) AS x(p, label)
+), found AS (
+  SELECT doc_id, label, i - 1 AS p0 FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d), phrases WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p
+)
+SELECT doc_id, any_value(len(w)) AS n_words, count(p0) AS n_base, min(p0) AS first_word, max(p0) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN found USING (doc_id) GROUP BY doc_id
 """
 
 
@@ -129,6 +203,9 @@ def queries() -> dict:
         "op9_suffixes": op9_suffixes,
         "op10_near": op10_near,
         "pipeline": pipeline,
+        "ppm_base": ppm_base,
+        "quality_base": quality_base,
+        "licenses_base": licenses_base,
     }
 
     def shipped(query):
@@ -146,4 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat": OP4_SQL,
         "op8_substrings": OP8_SQL,
         "op9_suffixes": OP9_SQL,
+        "ppm_base": PPM_BASE_SQL,
+        "quality_base": QUALITY_BASE_SQL,
+        "licenses_base": LICENSES_BASE_SQL,
     }
