@@ -146,3 +146,30 @@ def test_key_codec(spark):
 def test_sums_stop_at_the_cap(spark):
     d = spark.createDataFrame([("t", "a", 2**62), ("t", "a", 2**62), ("t", "a", 2**62), ("t", "z", 0)], "tenant string, term string, weight bigint")
     assert {r["term"]: r["frequency"] for r in dictionary.from_terms(d).collect()} == {"a": 2**63 - 1, "z": 0}
+
+
+def test_counts_and_empty_dictionaries(spark):
+    d = terms(spark, cat=1, car=2)
+    assert rows(dictionary.term_counts(d)) == [("t", 2)] and not d.isEmpty()
+    none = d.limit(0)
+    assert none.isEmpty() and dictionary.term_counts(none).count() == 0 and rows(dictionary.tenant_count(none)) == [(0,)]
+    assert rows(search.prefix_topk(none, "t", "", 5)) == [] and shape.tenant_stats(none).count() == 0
+
+
+def test_pruned_winner_and_wide_ties(spark):
+    many = {f"term{i:03}": 1 for i in range(200)} | {"term199deep": 999}
+    d = terms(spark, **many)
+    assert rows(search.prefix_topk(d, "t", "term", 1)) == [("term199deep", 999)]
+    ties = terms(spark, **{f"c{chr(97 + i)}": 7 for i in range(26)})
+    want = ["ca", "cb", "cc", "cd", "ce"]
+    assert [t for t, _ in rows(search.prefix_topk(ties, "t", "c", 5))] == want
+    assert [r[0] for r in rows(search.fuzzy_topk(ties, "t", "ca", 1, 5))] == want
+
+
+def test_more_queries_than_are_sent_to_every_task(spark, bulk, monkeypatch):
+    model, frame = bulk
+    asked = [(i, "t", q, 3) for i, q in enumerate(["", "a", "zz", *sorted(model)[::25]])]
+    requests = spark.createDataFrame(asked, "query_id bigint, tenant string, query string, k int")
+    few = sorted(rows(search.prefix_topk_batch(frame, requests)))
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 0)
+    assert sorted(rows(search.prefix_topk_batch(frame, requests))) == few and len(few) > 6
