@@ -119,7 +119,9 @@ def render(messages: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def parse(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Reads ``render``'s output back: ``(conv_id, formatted, turns, loss_text)``."""
+    """Reads ``render``'s output back: ``(conv_id, formatted, turns, loss_text)``, a row for
+    each row. Empty roles and texts come back empty; no rows give no rows; time and memory
+    grow with the length of a conversation, which is one value. Other columns go."""
     raw = F.filter(F.split("formatted", _literal(template.close)), lambda x: x != "")
     turns = F.transform(
         raw,
@@ -139,11 +141,14 @@ def _literal(mark: str) -> str:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A finished conversation table as a log: each row starts a message."""
+    """A finished conversation table as a log: each row starts a message. Repeated rows are
+    messages of their own, other columns are left out."""
     return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("turn").alias("event"), "turn", "role", "text")
 
 
 def digests(parsed: DataFrame) -> DataFrame:
+    """Counts and SHA-256 digests of each parsed conversation, a row for each row; one
+    without assistant turns has an empty loss text."""
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return parsed.select(
         "conv_id",
