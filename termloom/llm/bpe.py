@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import whole_text
+from .common import Cache, enter, on_leaving, ship_code, whole_text
 
-#: Entries a worker keeps of each cache; a full cache is emptied, so memory is bounded.
-CACHE_ENTRIES = 600_000
+#: Bytes that a worker keeps of chunks, of words and of pairs.
+CACHE_BYTES = (16_000_000, 64_000_000, 12_000_000)
+#: Bytes of text that are encoded before they are handed on.
+SLICE_BYTES = 2_000_000
 
 END = "</w>"
 
@@ -85,7 +87,7 @@ class Vocabulary:
         self.shorter = [-1] * size
         for s, i in by_symbols.items():
             self.shorter[i] = next((by_symbols[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_symbols), -1)
-        self._pairs: dict[int, bool] = {}
+        self._pairs = Cache(CACHE_BYTES[2], 120)
         pieces = [f"{text} ".encode() for text in self.content]
         self.piece_blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_length = np.array([len(p) for p in pieces], np.int64)
@@ -114,9 +116,7 @@ class Vocabulary:
                 limit, left = made[left], parts[left][1]
             else:
                 limit, right = made[right] + 1, parts[right][0]
-        if len(self._pairs) >= CACHE_ENTRIES:
-            self._pairs.clear()
-        self._pairs[key] = good
+        self._pairs.keep(key, good, 0)
         return good
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -155,59 +155,67 @@ class Vocabulary:
         return self.piece_blob[take[:-1]].tobytes()
 
 
-class TextEncoder(dict):
+class Words(Cache):
+    """Words -> their ids, little-endian."""
+
+    def __init__(self, bound: int, encode):
+        super().__init__(bound, 180)
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        self.keep(word, packed, len(word) + len(packed))
+        return packed
+
+
+class TextEncoder(Cache):
     """Chunks of text without spaces or line breaks -> their ids, little-endian.
 
     Normalisation, splitting and merging never look across white space, so a chunk's
-    ids do not depend on its neighbours, and each worker encodes a chunk once.
+    ids do not depend on its neighbours, and each worker encodes a chunk once. A text of
+    characters up to LAST goes at once: there NFC changes nothing, and which characters
+    are letters, numbers and spaces is known.
     """
 
+    BYTES = CACHE_BYTES
     #: The split pattern of the vocabulary file.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    LAST = "\u024f"
+    #: The same for characters up to LAST.
+    QUICK = re.compile(
+        "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+".format(L="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", N="0-9\xb2\xb3\xb9\xbc-\xbe", S="\t-\r \x85\xa0")
+    )
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().__init__(self.BYTES[0], 180)
         self.vocabulary = vocabulary
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.BYTES[1], self.encode_word)
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")")
         self.unletter = {ord(c): b for b, c in enumerate(byte_letters())}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         added = self.vocabulary.added
         parts = self.marks.split(chunk) if "<|" in chunk else [chunk]
-        out = self[chunk] = b"".join(struct.pack("<I", added[p]) if p in added else self._plain(p) for p in parts if p)
+        out = b"".join(struct.pack("<I", added[p]) if p in added else self._plain(p) for p in parts if p)
+        self.keep(chunk, out, len(chunk) + len(out))
         return out
 
     def _plain(self, chunk: str) -> bytes:
-        if chunk.isascii() or max(chunk) <= "ɏ":  # up to there, NFC changes nothing
-            chunk = chunk.lower()
-            if chunk.isalpha():
-                words = [chunk]
-            elif chunk[:-1].isalpha() and chunk[-1] in ".,":
-                words = [chunk[:-1], chunk[-1]]
-            else:
-                words = self.SPLIT.findall(chunk)
+        if max(chunk) <= self.LAST:
+            words = self.QUICK.findall(chunk.lower())
         else:  # the library's own tables decide what a letter is
             library = self.vocabulary.library
             pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))
             words = [bytes(p.translate(self.unletter), "latin-1").decode() for p, _ in pieces]
-        return b"".join(map(self._word, words))
-
-    def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            ids = self.encode_word(word)
-            known = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return known
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode_word(self, word: str) -> list[int]:
         return self.vocabulary.encode_word(word.encode())
 
     def encode(self, text: str) -> bytes:
+        if "<|" not in text and (text.isascii() or max(text) <= self.LAST):
+            return b"".join(map(self.words.__getitem__, self.QUICK.findall(text.lower())))
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -221,23 +229,43 @@ def text_encoder(path: str) -> TextEncoder:
     return _encoders[path]
 
 
+on_leaving("bpe", _encoders.clear)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of some rows at a time; a row's text is whole."""
+    start, texts, size = 0, [], 0
+    for at, text in enumerate(batch.column(1)):
+        text = text.as_py()
+        if texts and size + len(text) > SLICE_BYTES:
+            yield batch.column(0).slice(start, len(texts)), texts
+            start, texts, size = at, [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield batch.column(0).slice(start, len(texts)), texts
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>, decoded string)`` of every row; a null text is empty.
 
-    No shuffle: each task streams over its rows. Repeated rows stay, a null id stays
-    null, other columns are not carried.
+    No shuffle: each task streams over its rows, some megabytes at a time; a longer text is
+    a step of its own. Repeated rows stay, a null id stays null, an empty table gives an
+    empty result, other columns are not carried.
     """
+    ship_code(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         encoder = text_encoder(vocabulary)
         for batch in batches:
-            ids = [np.frombuffer(encoder.encode(t), "<u4") for t in batch.column(1).to_pylist()]
-            decoded = [encoder.vocabulary.decode(x).decode() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+            for doc_ids, texts in _slices(batch):
+                packed = [encoder.encode(t) for t in texts]
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                decoded = pa.array([encoder.vocabulary.decode(np.frombuffer(p, "<u4")).decode() for p in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([doc_ids, ids, decoded], ["doc_id", "ids", "decoded"])
 
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
@@ -245,9 +273,11 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: the digests are taken in the
     task that encodes, so neither ids nor texts leave it."""
+    ship_code(docs.sparkSession)
     kept = docs.select("doc_id", whole_text().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         encoder = text_encoder(vocabulary)
         for batch in batches:
             counts, id_digests, text_digests = [], [], []

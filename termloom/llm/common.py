@@ -6,9 +6,11 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -45,14 +47,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_dropped(spark):  # the table stands for the shuffles that made it
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_writing = threading.Lock()
+_writers: dict[str, list] = {}
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that made them ends; threads that write at the same
+    time share the setting, and the last one puts it back."""
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # the table stands for the shuffles that made it
+    with _writing:
+        state = _writers.setdefault(spark.sparkContext.applicationId, [0, "false"])
+        if not state[0]:
+            state[1] = spark.conf.get(cleanup, "false")
+            spark.conf.set(cleanup, "true")
+        state[0] += 1
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _writing:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(cleanup, state[1])
 
 
 def drop_table(df: DataFrame) -> None:

@@ -1,11 +1,13 @@
 """Token ids in wavelet matrix files, one shard each.
 
-A shard is one row of a Parquet table, in a file of its own: for each bit of an id,
+A shard is one row of a Parquet table, in a file of its own, of SHARD_TOKENS ids or one
+longer document: for each bit of an id,
 from the highest, a plane of n bits; ids with a 0 come first on the next plane, in
 order, then those with a 1. With the number of zeros of each plane and a count of ones before
 every 512 bits, a token is read, counted up to a place (rank) or found by its number of
 occurrence (select) in one step a plane, without decoding the rest. Documents are in
-ascending id order over all shards.
+ascending id order over all shards. ``access``, ``count`` and ``locate`` answer tables of
+questions from the files; only the shards that a question falls on are read for it.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import TextEncoder, Vocabulary, byte_letters
-from .common import partitions, shared_dir, whole_text
+from .common import blocks, enter, on_leaving, shared_dir, ship_code, whole_text
 
 BLOCK_BITS = 512
+#: Ids after which a shard ends with the document; they and their planes fit in a task.
+SHARD_TOKENS = 8_000_000
+#: Shards that one task of a range of documents may write.
+_SHARDS_A_TASK = 1 << 20
 SCHEMA = (
-    "shard int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, zeros array<long>, "
+    "shard long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, zeros array<long>, "
     "planes array<binary>, ranks array<binary>"
 )
 
@@ -120,6 +126,8 @@ class WaveletMatrix:
 class LibraryEncoder(TextEncoder):
     """As ``TextEncoder``, with the library's own merging of each word."""
 
+    BYTES = (30_000_000, 110_000_000)
+
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(vocabulary)
         self.letters = dict(enumerate(byte_letters()))
@@ -138,51 +146,67 @@ def _encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, shards: int) -> None:
+on_leaving("wavelet", _encoders.clear)
+
+
+def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes every row, adds ``end_id`` and writes one file a shard.
 
     Rows are dealt by ranges of (doc_id, hash of the text) and sorted by (doc_id, text),
-    so a repeated id may span shards and ties have one order; a null id comes first. A
-    task holds the ids of its own shard only. An empty table writes no shard.
+    so a repeated id may span shards and ties have one order; a null id comes first, a null
+    text is empty. A task holds the ids of one shard at a time. An empty table writes no
+    shard. Other columns are not read.
     """
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     dealt = (
         rows.withColumn("h", F.xxhash64("text"))
-        .repartitionByRange(shards, "doc_id", "h")
+        .repartitionByRange(blocks(docs), "doc_id", "h")
         .sortWithinPartitions("doc_id", "h", "text")
-        .select("doc_id", "text", F.spark_partition_id().alias("shard"))
+        .select("doc_id", "text", F.spark_partition_id().alias("task"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("wavelet")
         encoder = _encoder(vocabulary)
         end = int(end_id).to_bytes(4, "little")
         bits = max(end_id, len(encoder.vocabulary.content) - 1).bit_length()
         kind = np.uint16 if bits <= 16 else np.uint32
-        shard, doc_ids, counts, parts = None, [], [], []
+        shard, size = None, 0
+        doc_ids: list[int | None] = []
+        counts: list[int] = []
+        parts: list[np.ndarray] = []
+
+        def made() -> pa.RecordBatch:
+            m = WaveletMatrix.build(np.concatenate(parts), bits)
+            row = {
+                "shard": shard, "doc_ids": doc_ids, "doc_tokens": counts, "n_tokens": m.n, "zeros": m.zeros,
+                "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks],
+            }
+            return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
+
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, task in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if size >= shard_tokens:
+                    yield made()
+                    shard, size, doc_ids, counts, parts = shard + 1, 0, [], [], []
+                if shard is None:
+                    shard = task * _SHARDS_A_TASK
                 packed = encoder.encode(text.as_py()) + end
                 doc_ids.append(doc_id)
                 counts.append(len(packed) // 4)
                 parts.append(np.frombuffer(packed, "<u4").astype(kind))
-            if batch.num_rows:
-                shard = batch.column(2)[0].as_py()
-        if shard is None:
-            return
-        m = WaveletMatrix.build(np.concatenate(parts), bits)
-        row = {
-            "shard": shard, "doc_ids": doc_ids, "doc_tokens": counts, "n_tokens": m.n, "zeros": m.zeros,
-            "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks],
-        }
-        yield pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
+                size += counts[-1]
+        if parts:
+            yield made()
 
-    dealt.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, SCHEMA).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
 
 
 def _arrow_schema() -> pa.Schema:
     longs, blobs = pa.list_(pa.int64()), pa.list_(pa.binary())
     return pa.schema(
-        [("shard", pa.int32()), ("doc_ids", longs), ("doc_tokens", longs), ("n_tokens", pa.int64()), ("zeros", longs), ("planes", blobs), ("ranks", blobs)]
+        [("shard", pa.int64()), ("doc_ids", longs), ("doc_tokens", longs), ("n_tokens", pa.int64()), ("zeros", longs), ("planes", blobs), ("ranks", blobs)]
     )
 
 
@@ -198,13 +222,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(shards: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` decoded from the files."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` decoded from the files, a shard at a time;
+    no shard gives no row, an empty text its end id alone."""
+    ship_code(shards.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("wavelet")
         for batch in batches:
             for row in batch.to_pylist():
-                m = WaveletMatrix(row["n_tokens"], row["zeros"], row["planes"], row["ranks"])
-                ids = m.decode().astype("<u4")
+                ids = _matrix(row).decode().astype("<u4")
                 counts = np.array(row["doc_tokens"], np.int64)
                 starts = np.cumsum(counts) - counts
                 sums = [zlib.crc32(ids[s : s + n]) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
@@ -216,9 +242,84 @@ def documents(shards: DataFrame) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _matrix(row: dict) -> WaveletMatrix:
+    return WaveletMatrix(row["n_tokens"], row["zeros"], row["planes"], row["ranks"])
+
+
+_MATRIX = ["shard", "first", "n_tokens", "zeros", "planes", "ranks"]
+
+
+def access(shards: DataFrame, positions: DataFrame) -> DataFrame:
+    """``(position, token)`` of the distinct ``position`` numbers, counted over all shards;
+    null where there is none."""
+    ship_code(shards.sparkSession)
+    asked = positions.select(F.col("position").cast("long").alias("position")).distinct()
+    spans = shards.select(F.col("shard").alias("_of"), F.col("first").alias("_from"), (F.col("first") + F.col("n_tokens")).alias("_to"))
+    inside = (F.col("position") >= F.col("_from")) & (F.col("position") < F.col("_to"))
+    dealt = asked.join(F.broadcast(spans), inside).select("_of", "position")  # one small row a shard
+
+    def look(of: pa.Table, held: pa.Table) -> pa.Table:
+        enter("wavelet")
+        places = of.column("position").to_pylist() if of.num_rows else []
+        row = held.to_pylist()[0]
+        m = _matrix(row)
+        tokens = [m.access(p - row["first"]) for p in places]
+        return pa.table({"position": pa.array(places, pa.int64()), "token": pa.array(tokens, pa.int64())})
+
+    wanted = shards.select(*_MATRIX).join(dealt.select(F.col("_of").alias("shard")).distinct(), "shard", "left_semi")
+    found = dealt.groupBy("_of").cogroup(wanted.groupBy("shard")).applyInArrow(look, "position long, token long")
+    return asked.join(found, "position", "left")
+
+
+def counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``(shard, first, token, n)``: how often each of some tokens stands in each shard."""
+    ship_code(shards.sparkSession)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("wavelet")
+        for batch in batches:
+            for row in batch.to_pylist():
+                m = _matrix(row)
+                n = [m.rank(t, m.n) if t >> len(m.planes) == 0 else 0 for t in tokens]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["shard"]] * len(n), pa.int64()), pa.array([row["first"]] * len(n), pa.int64()), pa.array(tokens, pa.int64()), pa.array(n, pa.int64())],
+                    ["shard", "first", "token", "n"],
+                )
+
+    return shards.select(*_MATRIX).mapInArrow(rank, "shard long, first long, token long, n long")
+
+
+def count(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``(token, n)`` over all shards."""
+    return counts(shards, tokens).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``(token, number, position)`` of every occurrence of some tokens, numbered from 0."""
+    ship_code(shards.sparkSession)
+    per_shard = counts(shards, tokens)
+    before = F.sum("n").over(Window.partitionBy("token").orderBy("first")) - F.col("n")
+    asked = per_shard.withColumn("before", before).where("n > 0").groupBy("shard").agg(F.collect_list(F.struct("token", "n", "before")).alias("asked"))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("wavelet")
+        for batch in batches:
+            for row in batch.to_pylist():
+                m = _matrix(row)
+                for a in row["asked"]:
+                    places = [row["first"] + m.select(a["token"], k) for k in range(a["n"])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([a["token"]] * a["n"], pa.int64()), pa.array(range(a["before"], a["before"] + a["n"]), pa.int64()), pa.array(places, pa.int64())],
+                        ["token", "number", "position"],
+                    )
+
+    held = shards.select(*_MATRIX).join(asked, "shard")
+    return held.mapInArrow(select, "token long, number long, position long")
+
+
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """Writes the shards into the shared folder and reads every document back."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    write(docs, vocabulary, path, end_id, partitions(spark))
+    write(docs, vocabulary, path, end_id)
     return documents(read(spark, path))
