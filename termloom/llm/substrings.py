@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from . import exchange
 from .common import enter, on_leaving, ship_code
 from .exchange import Gathered
-from .words import forget_words, window_hashes, word_hashes
+from .words import forget_powers, hashes_of, window_hashes
 
 WINDOW_WORDS = 13
 
-on_leaving("substrings", forget_words)
+on_leaving("substrings", forget_powers)
 
 
 def lengths(size: int) -> list[int]:
@@ -42,9 +42,7 @@ class _Words:
     """Word hashes of some documents in a row; documents without an id take no part."""
 
     def __init__(self, ids: list, texts: list[bytes]):
-        each = [word_hashes(t) if i is not None else np.empty(0, np.uint64) for i, t in zip(ids, texts, strict=True)]
-        counts = np.array([len(h) for h in each], np.int64)
-        self.h = np.concatenate(each)
+        self.h, counts = hashes_of([t if i is not None else b"" for i, t in zip(ids, texts, strict=True)])
         self.ids = np.repeat(np.array([0 if i is None else i for i in ids], np.int64), counts)
         self.ends = np.repeat(np.cumsum(counts), counts)
         self.starts = np.cumsum(counts) - counts

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from .common import enter, on_leaving, ship_code
 from .exchange import Gathered
-from .words import mix, pair
+from .words import Content, forget_powers, mix, pair
 
 SIZE = 50
 SHORT = 25
@@ -51,8 +51,6 @@ _REPLY_TYPES = pa.schema([("block", pa.int64()), ("prints", pa.binary()), ("offs
 #: In a reply's offsets: the fragment is to be sorted; the block is to send its text.
 SORT, SEND = -1, -2
 
-_BASE = 0x9E3779B97F4A7C15
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
@@ -212,24 +210,7 @@ def smallest_runs(families: list[int], fragments: list[bytes], ids: list[int], s
     return [[(k, x) for k, x in enumerate(row) if not k or row[k - 1] != x] for row in least]
 
 
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _no_powers() -> None:
-    global _powers
-    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-on_leaving("suffixes", _no_powers)
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, up to n."""
-    global _powers
-    if len(_powers[0]) <= n:
-        bases = _BASE, pow(_BASE, -1, 1 << 64)
-        _powers = tuple(np.r_[np.uint64(1), np.cumprod(np.full(n, b, np.uint64))] for b in bases)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+on_leaving("suffixes", forget_powers)
 
 
 def _byte_hashes(data: bytes, n: int, short: int) -> np.ndarray:
@@ -269,12 +250,7 @@ class _Fragments:
         self.first, self.last = first[good], last[good]
         self.anchors = anchors[self.first]
         self.ids = np.array([0 if i is None else i for i in ids], np.int64)[doc[self.first]]
-        power, inverse = _power(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTERS[np.frombuffer(self.data, np.uint8, n)] * power[:-1], out=total[1:])
-        stop = self.last + size
-        content = (total[stop] - total[self.first]) * inverse[self.first]
-        self.prints = mix(content + (stop - self.first).astype(np.uint64))
+        self.prints = Content(self.data, n).parts(self.first, self.last + size)
 
     def text(self, k: int, size: int) -> bytes:
         return self.data[self.first[k] : self.last[k] + size]
