@@ -25,6 +25,7 @@ to be mistaken.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import enter, on_leaving, ship_code
+from .common import drop_table, enter, materialize, on_leaving, ship_code
 from .exchange import Gathered
 from .words import Content, forget_powers, mix, pair
 
@@ -46,33 +47,42 @@ _FOUND = "block long, bucket long, anchors binary, prints binary, least binary,
 _FOUND_TYPES = pa.schema(
     [("block", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("prints", pa.binary()), ("least", pa.binary()), ("texts", pa.list_(pa.binary()))]
 )
-_REPLY = "block long, prints binary, offsets binary, least binary"
-_REPLY_TYPES = pa.schema([("block", pa.int64()), ("prints", pa.binary()), ("offsets", pa.binary()), ("least", pa.binary())])
-#: In a reply's offsets: the fragment is to be sorted; the block is to send its text.
+_REPLY = "block long, open boolean, prints binary, offsets binary, least binary"
+_REPLY_TYPES = pa.schema([("block", pa.int64()), ("open", pa.bool_()), ("prints", pa.binary()), ("offsets", pa.binary()), ("least", pa.binary())])
+#: In the offsets of an open reply: the fragment is to be sorted; the block is to send its text.
 SORT, SEND = -1, -2
 
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
+    return _sorted_suffixes(text).tolist()
+
+
+def _numbers() -> array:
+    return array("i")
+
+
+def _sorted_suffixes(text: Sequence[int]) -> array:
+    """Places are kept in four bytes each, as an anchor's fragments are sorted in one task."""
     n = len(text)
-    by_letter: dict[int, list[int]] = defaultdict(list)
+    by_letter: dict[int, array] = defaultdict(_numbers)
     for i, letter in enumerate(text):
         by_letter[letter].append(i)
     members = [by_letter[letter] for letter in sorted(by_letter)]
-    group = [0] * n
+    group = array("i", [0]) * n
     for g, places in enumerate(members):
         for i in places:
             group[i] = g
     size = [len(places) for places in members]
     below = list(range(-1, len(members) - 1))
     above = [*range(1, len(members)), -1]
-    before = [-1] * n
+    before = array("i", [-1]) * n
     done = bytearray(n)
     current = len(members) - 1
     while current >= 0:
         places = members[current]
         if len(places) != size[current]:
-            places = [i for i in places if group[i] == current]
+            places = array("i", [i for i in places if group[i] == current])
             members[current] = places
         for i in places:
             done[i] = 1
@@ -82,7 +92,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                 j = before[j]
             before[places[0]] = j
             if j >= 0 and size[group[j]] > 1:
-                _split(group[j], [j], members, group, size, below, above)
+                _split(group[j], array("i", [j]), members, group, size, below, above)
         else:
             times: dict[int, int] = defaultdict(int)
             for i in places:
@@ -92,14 +102,13 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                 before[i] = j
                 if j >= 0:
                     times[j] += 1
-            by_times: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+            by_times: dict[int, dict[int, array]] = defaultdict(lambda: defaultdict(_numbers))
             for j, t in times.items():
                 by_times[t][group[j]].append(j)
             for t in sorted(by_times, reverse=True):
                 for g, extended in by_times[t].items():
                     if len(extended) < size[g]:
-                        extended.sort()
-                        _split(g, extended, members, group, size, below, above)
+                        _split(g, array("i", sorted(extended)), members, group, size, below, above)
         current = below[current]
     lowest = next((g for g in range(len(members)) if below[g] < 0), -1)
     start, at, g = [0] * len(members), 0, lowest
@@ -107,7 +116,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         start[g] = at
         at += size[g]
         g = above[g]
-    out = [-1] * n
+    out = array("i", [-1]) * n
     placed = bytearray(n)
     for k in range(-1, n):
         i = (out[k] if k >= 0 else n) - 1
@@ -135,11 +144,11 @@ def _split(g, extended, members, group, size, below, above) -> None:
         below[higher] = new
 
 
-def smallest_ids(fragments: list[bytes], ids: list[int], size: int = SIZE) -> list[list[int]]:
+def smallest_ids(fragments: list[bytes], ids: list[int], size: int = SIZE) -> list[array]:
     """For each of distinct fragments, its windows' smallest ids. Equal windows follow each
     other in the suffix array of all fragments, joined with a separator below every byte."""
-    letters: list[int] = []
-    owner: list[int] = []  # the fragment of the window that starts here; -1 where none does
+    letters = array("H")
+    owner = array("i")  # the fragment of the window that starts here; -1 where none does
     starts: list[int] = []
     for k, fragment in enumerate(fragments):
         starts.append(len(letters))
@@ -148,10 +157,12 @@ def smallest_ids(fragments: list[bytes], ids: list[int], size: int = SIZE) -> li
         owner.extend([k] * (len(fragment) - size + 1))
         owner.extend([-1] * size)
     data = b"\0".join(fragments)
-    least = [[0] * (len(f) - size + 1) for f in fragments]
+    least = [array("q", [0]) * (len(f) - size + 1) for f in fragments]
     run: list[int] = []
     last = None
-    for i in [*suffix_array(letters), -1]:
+    order = _sorted_suffixes(letters)
+    order.append(-1)
+    for i in order:
         if i >= 0 and owner[i] < 0:
             continue
         window = data[i : i + size] if i >= 0 else None
@@ -195,7 +206,7 @@ def contested(families: list[int], fragments: list[bytes], size: int = SIZE) ->
 def smallest_runs(families: list[int], fragments: list[bytes], ids: list[int], size: int = SIZE) -> list[list[tuple[int, int]]]:
     """For each of fragments that are distinct in their family, its windows' smallest ids
     in the family as runs: (first window, id)."""
-    least = [[i] * (len(f) - size + 1) for f, i in zip(fragments, ids, strict=True)]
+    least = [array("q", [i]) * (len(f) - size + 1) for f, i in zip(fragments, ids, strict=True)]
     places: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
     for k, runs in enumerate(contested(families, fragments, size)):
         for a, b in runs:
@@ -203,7 +214,7 @@ def smallest_runs(families: list[int], fragments: list[bytes], ids: list[int], s
     for shorter in places.values():
         texts = list(shorter)
         firsts = [min(ids[k] for k, _ in shorter[t]) for t in texts]
-        found = smallest_ids(texts, firsts, size) if len(texts) > 1 else [firsts * (len(texts[0]) - size + 1)]
+        found = smallest_ids(texts, firsts, size) if len(texts) > 1 else [array("q", firsts) * (len(texts[0]) - size + 1)]
         for text, row in zip(texts, found, strict=True):
             for k, a in shorter[text]:
                 least[k][a : a + len(row)] = row
@@ -248,7 +259,7 @@ class _Fragments:
         last = np.r_[first[1:], windows] - 1
         good = whole[first]
         self.first, self.last = first[good], last[good]
-        self.anchors = anchors[self.first]
+        self.anchors = mix(anchors[self.first])  # smallest hashes are small; ranges of them need even ones
         self.ids = np.array([0 if i is None else i for i in ids], np.int64)[doc[self.first]]
         self.prints = Content(self.data, n).parts(self.first, self.last + size)
 
@@ -310,8 +321,16 @@ def _joined(table: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def _reply(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Rows (block, prints, offsets, smallest ids); fragments that are still to be sorted
+    stand in rows of their own."""
+    apart = [(b, bool(is_open), p[k], o[k], x[k]) for b, p, o, x in rows for is_open in (0, 1) if (k := (o < 0) == is_open).any()]
     return pa.table(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), *[pa.array([exchange.pack_ids(r[k]) for r in rows], pa.binary()) for k in (2, 3)]],
+        [
+            pa.array([r[0] for r in apart], pa.int64()),
+            pa.array([r[1] for r in apart], pa.bool_()),
+            pa.array([r[2].tobytes() for r in apart], pa.binary()),
+            *[pa.array([exchange.pack_ids(r[k]) for r in apart], pa.binary()) for k in (3, 4)],
+        ],
         schema=_REPLY_TYPES,
     )
 
@@ -387,7 +406,8 @@ def _parts(fragments: list[tuple[int, bytes, int]]) -> Iterator[list[tuple[int,
 
 
 def _shared_fragments(rows: DataFrame, bits: int) -> DataFrame:
-    """For each block, (print, first window, smallest id) of its shared fragments."""
+    """For each block, (print, first window, smallest id) of its shared fragments. Each
+    round of questions and answers is written, so that only its own shuffles are on disk."""
 
     def anchors(block: pa.Table) -> pa.Table:
         enter("suffixes")
@@ -414,8 +434,7 @@ def _shared_fragments(rows: DataFrame, bits: int) -> DataFrame:
         if not reply.num_rows:
             return _FOUND_TYPES.empty_table()
         prints, offsets, least = _joined(reply, "prints", "offsets", "least")
-        wanted = np.flatnonzero(offsets < 0)
-        wanted = wanted[np.argsort(prints[wanted])]
+        wanted = np.argsort(prints)
         prints, send, least = prints[wanted], offsets[wanted] == SEND, least[wanted]
         anchors = np.zeros(len(prints), np.uint64)
         found: list[bytes | None] = [None] * len(prints)
@@ -430,12 +449,14 @@ def _shared_fragments(rows: DataFrame, bits: int) -> DataFrame:
                     found[at] = f.text(k, SIZE) if send[at] else None
         return _found(block.column("block")[0].as_py(), bits, prints, anchors, least, found)
 
-    shared = exchange.first_pass(rows, anchors, bits)
     by_block = rows.groupBy("block")
+    shared = materialize(exchange.first_pass(rows, anchors, bits), "suffixes-anchors")
     asked = by_block.cogroup(shared.groupBy("block")).applyInArrow(fragments, _FOUND)
-    reply = asked.groupBy("bucket").applyInArrow(_smallest_by_print, _REPLY)
-    sent = by_block.cogroup(reply.groupBy("block")).applyInArrow(texts_asked, _FOUND)
-    return reply.unionByName(sent.groupBy("bucket").applyInArrow(_smallest_by_window, _REPLY))
+    reply = materialize(asked.groupBy("bucket").applyInArrow(_smallest_by_print, _REPLY), "suffixes-prints")
+    drop_table(shared)
+    sent = by_block.cogroup(reply.where("open").groupBy("block")).applyInArrow(texts_asked, _FOUND)
+    windows = materialize(sent.groupBy("bucket").applyInArrow(_smallest_by_window, _REPLY), "suffixes-windows")
+    return reply.where("not open").unionByName(windows)
 
 
 def _removed(f: _Fragments, prints: np.ndarray, offsets: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -458,16 +479,15 @@ def _removed(f: _Fragments, prints: np.ndarray, offsets: np.ndarray, least: np.n
 
 def _apply(docs: DataFrame, finish, schema, carry: list | None = None) -> DataFrame:
     ship_code(docs.sparkSession)
+    found = _shared_fragments(exchange.in_blocks(docs), exchange.bucket_bits(docs))
     rows = exchange.in_blocks(docs, carry)
-    found = _shared_fragments(rows, exchange.bucket_bits(docs))
 
     def apply(block: pa.Table, reply: pa.Table) -> pa.Table:
         enter("suffixes")
         if reply.num_rows:
             prints, offsets, least = _joined(reply, "prints", "offsets", "least")
-            good = np.flatnonzero(offsets >= 0)
-            good = good[np.lexsort((offsets[good], prints[good]))]
-            prints, offsets, least = prints[good], offsets[good], least[good]
+            order = np.lexsort((offsets, prints))
+            prints, offsets, least = prints[order], offsets[order], least[order]
         else:
             prints, offsets, least = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         marks: list[np.ndarray] = []

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -357,6 +358,20 @@ def test_suffixes(corpus, nothing):
     assert suffixes.digests(nothing).count() == 0
 
 
+def test_suffixes_in_little_memory():
+    """Ranges of anchors are even, and one anchor's fragments are sorted in some bytes a letter."""
+    rng = random.Random(4)
+    text = " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(30_000)).encode()
+    ranges = np.bincount((suffixes._Fragments([1], [text], suffixes.SIZE, suffixes.SHORT).anchors >> np.uint64(58)).astype(int), minlength=64)
+    assert ranges.max() <= 3 * ranges.mean() and ranges.min() > 0
+    fragments = [bytes(rng.choice(b"abc") for _ in range(75)) for _ in range(600)]
+    tracemalloc.start()
+    suffixes.smallest_ids(fragments, list(range(600)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 85 * sum(map(len, fragments)), peak / sum(map(len, fragments))
+
+
 def test_edits_within():
     rng = random.Random(0)
 
