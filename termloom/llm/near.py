@@ -8,7 +8,8 @@ documents first meet a few leaders of their bucket, and what is in one component
 is not compared again; a document that fits a leader stays, so that it meets those that do
 not. Of the pairs that are still apart, lengths and a signature of the occurrence-labelled
 words choose those that are compared; a bucket of very many unlike documents (a passage in
-common) is first cut by parts of that signature. A comparison is an alignment along the
+common) goes by pairs of that signature's bytes, one of which any two that are compared have
+in common, so it gives the same pairs. A comparison is an alignment along the
 diagonals within the edit budget; a pair is a link if 1 - edits / words of the longer one
 is at least the threshold. Classes are the connected components of the links.
 """
@@ -42,7 +43,7 @@ LEADERS = (1, 8)
 #: Documents of a bucket that are paired in one group, and that are compared with a leader in one.
 BLOCK = 256
 MEMBERS = 2048
-#: Buckets with more documents beside their largest component are cut by parts of the signature.
+#: Buckets with more documents beside their largest component go by pairs of the signature's bytes.
 CROWD = 4096
 #: Rows of ids that are sent to every task, some 60 MB at the most; more are met by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -50,9 +51,12 @@ BROADCAST_ROWS = 1_000_000
 #: two thirds of their labelled words in common, 3.5 standard deviations above.
 BINS = 96
 AGREE = 0.5
-#: Bytes of a signature that make a part: two of the threshold's similarity share one of
-#: the 24 parts with 0.995 at the least.
-PART = 4
+#: Places of two bytes of a signature: each with the next, around, and two more. Signatures that
+#: agree as said share one with a byte that is set. If not, no agreeing byte stands beside an
+#: agreeing one or one that neither has, so each has two differing neighbours, and as those are
+#: no more, both kinds take turns all around; but then the first byte agrees with the third, or
+#: the second with the fourth.
+TWOS = [*((i, (i + 1) % BINS) for i in range(BINS)), (0, 2), (1, 3)]
 
 on_leaving("near", forget_powers)
 
@@ -376,14 +380,14 @@ def _all_pairs(active: DataFrame, signatures: DataFrame) -> DataFrame:
     """``(doc_id, leader)``: all pairs in a bucket that may be links. Most rows of a large
     bucket are of one component, which is not paired with itself: it goes in blocks, each
     of which meets the blocks of the others, and these meet each other. Buckets with more
-    than CROWD of the others are first cut by the parts of the signature."""
-    every = _with_majority(active.select("key", "doc_id", "n_words", "root").join(signatures, "doc_id"))
-    parts = F.expr(
-        f"filter(transform(sequence(0, {BINS // PART - 1}), j -> if(substring(signature, j * {PART} + 1, {PART}) = X'{'00' * PART}',"
-        f" null, xxhash64(key, j, substring(signature, j * {PART} + 1, {PART})))), x -> x is not null)"
-    )
-    crowd = every.where(F.col("fewer") > CROWD).select(F.explode(parts).alias("key"), "doc_id", "n_words", "root", "signature")
+    than CROWD of the others go by TWOS of the signature first, which loses no such pair."""
+    every = _with_majority(active.select("key", "doc_id", "n_words", "root"))
+    byte = lambda i: f"substring(signature, {i + 1}, 1)"
+    twos = ", ".join(f"concat({byte(i)}, {byte(j)})" for i, j in TWOS)
+    keys = F.expr(f"filter(transform(array({twos}), (x, j) -> if(x = X'0000', null, xxhash64(key, j, x))), x -> x is not null)")
+    crowd = every.where(F.col("fewer") > CROWD).join(signatures, "doc_id").select(F.explode(keys).alias("key"), "doc_id", "n_words", "root")
     rows = every.where(F.col("fewer") <= CROWD).unionByName(_with_majority(crowd).select(*every.columns))
+    rows = rows.join(signatures, "doc_id")
     hashed, zero = F.xxhash64("doc_id"), F.lit(0).cast("bigint")
     of_most, of_fewer = F.ceil(F.col("most") / BLOCK), F.ceil(F.col("fewer") / BLOCK)
     is_top = F.col("root") == F.col("top")

@@ -692,6 +692,33 @@ def test_near_crowds(spark, monkeypatch):
     assert linked(spark, texts, [[1]] * len(texts)) == {(2 * k, 2 * k + 1) for k in range(40)}
 
 
+def test_near_crowds_give_the_same_links(spark, monkeypatch):
+    """Similar texts whose signatures agree in scattered bytes only, in a bucket of either size."""
+    rng = random.Random(8)
+    texts = []
+    while len(texts) < 8:
+        one = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        two = edited(one, set(rng.sample(range(200), 40)))
+        x, y = (np.frombuffer(near.signature(words.word_hashes(" ".join(t))), np.uint8) for t in (one, two))
+        if near.alike(x[None], y[None])[0] and not (x == y).reshape(-1, 4).all(axis=1).any():
+            texts += [" ".join(one), " ".join(two)]
+    few = linked(spark, texts, [[1]] * len(texts))
+    monkeypatch.setattr(near, "CROWD", 0)
+    assert few == linked(spark, texts, [[1]] * len(texts)) == {(2 * k, 2 * k + 1) for k in range(4)}
+
+
+def test_near_signatures_that_agree_share_two_bytes():
+    rng = np.random.default_rng(1)
+    for n in range(3000):
+        x = rng.integers(1, 256, near.BINS, np.uint8) * (rng.random(near.BINS) < rng.choice([0.03, 0.2, 0.9, 1])).astype(np.uint8)
+        y = x.copy()
+        either = rng.permutation(near.BINS) if n % 4 else np.r_[np.arange(n % 8 // 4, near.BINS, 2), np.arange(1 - n % 8 // 4, near.BINS, 2)]
+        for i in either[x[either] > 0][: np.count_nonzero(x) // 2]:
+            y[i] = 0 if rng.random() < 0.3 else x[i] % 255 + 1
+        if x.any() and near.alike(x[None], y[None])[0]:
+            assert any(x[i] == y[i] and x[j] == y[j] and (x[i] or x[j]) for i, j in near.TWOS)
+
+
 def test_decontamination_of_repetitive_texts(spark):
     rng = random.Random(9)
     pieces = lambda: b"".join(rng.choice([b" ", b"a" * rng.randint(1, 40), b"ab" * rng.randint(1, 20), b"-" * rng.randint(1, 30), bytes(rng.choice(b"abcdefgh") for _ in range(9))]) for _ in range(6))
