@@ -327,6 +327,13 @@ def possible(words: np.ndarray, signatures: np.ndarray, roots: np.ndarray, left:
     return x[good], y[good]
 
 
+def first_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first of TWOS that signatures, row by row, share with a byte set."""
+    i, j = np.array(TWOS).T
+    same = a == b
+    return (same[:, i] & same[:, j] & ((a[:, i] | a[:, j]) != 0)).argmax(axis=1)
+
+
 def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each group ``(key, i, j)`` that may be links; rows come sorted by group."""
     enter("near")
@@ -336,7 +343,7 @@ def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         keys = [rows[c].to_numpy() for c in names]
         block, ids, words, roots = (rows[c].to_numpy() for c in ("block", "doc_id", "n_words", "root"))
-        signatures = _matrix(rows["signature"])
+        signatures, two = _matrix(rows["signature"]), rows["two"].to_numpy()
         new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         xs, ys = [], []
         for lo, hi in zip([0, *new], [*new, len(ids)], strict=True):
@@ -348,9 +355,13 @@ def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = block[lo:hi] == keys[1][lo]
             left, right = (at, at) if same else (at[first], at[~first])
             x, y = possible(words[lo:hi], signatures[lo:hi], r, left, right)
-            once = x < y if same else slice(None)
-            xs.append(ids[lo:hi][x[once]])
-            ys.append(ids[lo:hi][y[once]])
+            once = x < y if same else np.ones(len(x), bool)
+            x, y = x[once], y[once]
+            if two[lo] >= 0 and len(x):  # a pair comes out where it first meets
+                once = first_two(signatures[lo:hi][x], signatures[lo:hi][y]) == two[lo]
+                x, y = x[once], y[once]
+            xs.append(ids[lo:hi][x])
+            ys.append(ids[lo:hi][y])
         x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (xs, ys))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["doc_id", "leader"])
 
@@ -381,11 +392,11 @@ def _all_pairs(active: DataFrame, signatures: DataFrame) -> DataFrame:
     bucket are of one component, which is not paired with itself: it goes in blocks, each
     of which meets the blocks of the others, and these meet each other. Buckets with more
     than CROWD of the others go by TWOS of the signature first, which loses no such pair."""
-    every = _with_majority(active.select("key", "doc_id", "n_words", "root"))
+    every = _with_majority(active.select("key", "doc_id", "n_words", "root", F.lit(-1).alias("two")))
     byte = lambda i: f"substring(signature, {i + 1}, 1)"
     twos = ", ".join(f"concat({byte(i)}, {byte(j)})" for i, j in TWOS)
-    keys = F.expr(f"filter(transform(array({twos}), (x, j) -> if(x = X'0000', null, xxhash64(key, j, x))), x -> x is not null)")
-    crowd = every.where(F.col("fewer") > CROWD).join(signatures, "doc_id").select(F.explode(keys).alias("key"), "doc_id", "n_words", "root")
+    keys = F.expr(f"filter(transform(array({twos}), (x, j) -> if(x = X'0000', null, named_struct('key', xxhash64(key, j, x), 'two', j))), x -> x is not null)")
+    crowd = every.where(F.col("fewer") > CROWD).join(signatures, "doc_id").select(F.explode(keys).alias("_k"), "doc_id", "n_words", "root").select("_k.*", "doc_id", "n_words", "root")
     rows = every.where(F.col("fewer") <= CROWD).unionByName(_with_majority(crowd).select(*every.columns))
     rows = rows.join(signatures, "doc_id")
     hashed, zero = F.xxhash64("doc_id"), F.lit(0).cast("bigint")
@@ -396,7 +407,7 @@ def _all_pairs(active: DataFrame, signatures: DataFrame) -> DataFrame:
     rows = rows.withColumn("_o", F.explode(F.when(is_top, F.sequence(zero, of_fewer - 1)).otherwise(F.concat(F.sequence(zero, of_fewer - 1), below))))
     i = F.when(is_top, F.col("_o")).when(F.col("_o") < 0, F.col("block")).otherwise(F.least("block", "_o"))
     j = F.when(is_top, F.col("block")).when(F.col("_o") < 0, F.col("_o")).otherwise(F.greatest("block", "_o"))
-    rows = rows.select("key", i.alias("i"), j.alias("j"), "block", "doc_id", "n_words", "root", "signature")
+    rows = rows.select("key", i.alias("i"), j.alias("j"), "block", "doc_id", "n_words", "root", "two", "signature")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_pair_off, "doc_id long, leader long")
 
