@@ -7,9 +7,12 @@ are candidates, and all pairs of a bucket count. To keep large groups of copies
 documents first meet a few leaders of their bucket, and what is in one component by that
 is not compared again; a document that fits a leader stays, so that it meets those that do
 not. Of the pairs that are still apart, lengths and a signature of the occurrence-labelled
-words choose those that are compared; a bucket of very many unlike documents (a passage in
-common) goes by pairs of that signature's bytes, one of which any two that are compared have
-in common, so it gives the same pairs. A comparison is an alignment along the
+words choose those that are compared. A bucket of more than a block is dealt by bands of length,
+of which a document is in two. Documents of very many unlike ones in a band (a passage
+in common) meet by their rarest words instead: with the words in one order, rare ones first, any
+two similar texts have one of the first 0.2 n + 1 in common, so no link is lost. Where even a
+rare word is crowded, they go by pairs of the signature's bytes, one of which any two that are
+compared have in common. A comparison is an alignment along the
 diagonals within the edit budget; a pair is a link if 1 - edits / words of the longer one
 is at least the threshold. Classes are the connected components of the links.
 """
@@ -43,8 +46,13 @@ LEADERS = (1, 8)
 #: Documents of a bucket that are paired in one group, and that are compared with a leader in one.
 BLOCK = 256
 MEMBERS = 2048
-#: Buckets with more documents beside their largest component go by pairs of the signature's bytes.
+#: Buckets with more documents beside their largest component go by rare words, and rare words
+#: with more by pairs of the signature's bytes.
 CROWD = 4096
+#: Counters that tell rare words from frequent ones, and how many of them make a row. Words that
+#: share a counter only seem more frequent; any order that is the same for all texts is right.
+SLOTS = 1 << 18
+SLOTS_A_ROW = 1 << 12
 #: Rows of ids that are sent to every task, some 60 MB at the most; more are met by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a signature, and how many of those that either has set must be equal. Links have
@@ -276,13 +284,12 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     a group is read as a stream, so neither a large group nor a frequent leader fills a task.
     An id with several texts is similar where any of them is; without any, it has no row.
     """
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).alias("_groups"))
-    dealt = pairs.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("_groups")))
+    most = pairs.groupBy("leader").count().agg(F.max("count")).first()[0] or 0
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(-(-most // MEMBERS) or 1)))
     few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda x: x
     members = texts.join(few(dealt), "doc_id").select("leader", "part", "doc_id", "text")
-    ahead = texts.withColumnRenamed("doc_id", "leader").join(few(sizes), "leader").select(
-        "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)).alias("part"), F.lit(None).cast("bigint").alias("doc_id"), "text"
-    )
+    heads = dealt.select("leader", "part").distinct()
+    ahead = texts.withColumnRenamed("doc_id", "leader").join(few(heads), "leader").select("leader", "part", F.lit(None).cast("bigint").alias("doc_id"), "text")
     rows = members.unionByName(ahead).repartition("leader", "part").sortWithinPartitions("leader", "part", F.asc_nulls_first("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +323,11 @@ def _apart(rows: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return materialize(rows.join(mixed.where("_low <> _high").select("key", "n"), "key"), "near-active")
 
 
+def _band() -> F.Column:
+    """A number of the length; two that may be similar have the same or the next one."""
+    return F.floor(F.log("n_words") / F.log(F.lit(1 / THRESHOLD)))
+
+
 def possible(words: np.ndarray, signatures: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray):
     """Places of those pairs of left and right rows that may be links: of two components,
     with lengths that the edit budget can bridge and signatures that agree."""
@@ -344,6 +356,7 @@ def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [rows[c].to_numpy() for c in names]
         block, ids, words, roots = (rows[c].to_numpy() for c in ("block", "doc_id", "n_words", "root"))
         signatures, two = _matrix(rows["signature"]), rows["two"].to_numpy()
+        own = rows["own"].to_numpy()
         new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         xs, ys = [], []
         for lo, hi in zip([0, *new], [*new, len(ids)], strict=True):
@@ -355,7 +368,7 @@ def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = block[lo:hi] == keys[1][lo]
             left, right = (at, at) if same else (at[first], at[~first])
             x, y = possible(words[lo:hi], signatures[lo:hi], r, left, right)
-            once = x < y if same else np.ones(len(x), bool)
+            once = (x < y if same else True) & (own[lo:hi][x] | own[lo:hi][y])  # two of one band meet in that
             x, y = x[once], y[once]
             if two[lo] >= 0 and len(x):  # a pair comes out where it first meets
                 once = first_two(signatures[lo:hi][x], signatures[lo:hi][y]) == two[lo]
@@ -387,17 +400,97 @@ def _with_majority(rows: DataFrame) -> DataFrame:
     return rows.join(top.where("fewer > 0"), "key")
 
 
-def _all_pairs(active: DataFrame, signatures: DataFrame) -> DataFrame:
+def rarest(h: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """The labelled words by which a text meets all that are similar to it: it has all but
+    int(0.2 n) of its n words in common with a similar one, and more with a longer one, so in
+    any order one of the first int(0.2 n) + 1 of either is among these of the other."""
+    x = labelled(h)
+    order = np.lexsort((x, frequency[(x % np.uint64(SLOTS)).astype(np.int64)]))
+    return x[order[: int((1 - THRESHOLD) * len(x) + 1e-9) + 1]]
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How often the labelled words of each slot stand in the texts; SLOTS numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
+        out = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for h in _each(batch.column(0)):
+                np.add.at(out, (labelled(h) % np.uint64(SLOTS)).astype(np.int64), 1)
+        if out.any():
+            rows = [x.tobytes() for x in out.reshape(-1, SLOTS_A_ROW)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["row", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(SLOTS_A_ROW, np.int64)
+        for x in rows["counts"]:
+            total += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"row": rows["row"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = texts.select("text").mapInArrow(count, "row int, counts binary")
+    out = np.zeros(SLOTS, np.int64).reshape(-1, SLOTS_A_ROW)
+    for row, counts in parts.groupBy("row").applyInArrow(add, "row int, counts binary").collect():
+        out[row] = np.frombuffer(counts, np.int64)
+    return out.reshape(-1)
+
+
+def _by_rare_words(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows ``(key, doc_id, n_words, root)`` whose keys are the rarest words of the documents
+    ``(doc_id, root)``; an id with several texts has those of each. A text goes once,
+    whatever the number of its buckets."""
+    ids = materialize(crowd, "near-crowd")
+    held = materialize(texts.join(_few(ids), "doc_id").select("text", "doc_id", "root"), "near-crowd-texts")
+    drop_table(ids)
+    frequency = _frequencies(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
+        for batch in batches:
+            keys = [], []
+            for h in _each(batch.column(0)):
+                keys[0].append(rarest(h, frequency))
+                keys[1].append(len(h))
+            each = np.repeat(np.arange(len(keys[1])), [len(k) for k in keys[0]])
+            ids, roots = (batch.column(i).to_numpy()[each] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys[0] or [np.empty(0, np.uint64)]).view(np.int64)), pa.array(ids), pa.array(np.array(keys[1], np.int64)[each]), pa.array(roots)],
+                ["key", "doc_id", "n_words", "root"],
+            )
+
+    rows = materialize(held.mapInArrow(run, "key long, doc_id long, n_words long, root long").distinct(), "near-rare")
+    drop_table(held)
+    return rows
+
+
+def _all_pairs(active: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
     """``(doc_id, leader)``: all pairs in a bucket that may be links. Most rows of a large
     bucket are of one component, which is not paired with itself: it goes in blocks, each
-    of which meets the blocks of the others, and these meet each other. Buckets with more
-    than CROWD of the others go by TWOS of the signature first, which loses no such pair."""
-    every = _with_majority(active.select("key", "doc_id", "n_words", "root", F.lit(-1).alias("two")))
-    byte = lambda i: f"substring(signature, {i + 1}, 1)"
-    twos = ", ".join(f"concat({byte(i)}, {byte(j)})" for i, j in TWOS)
-    keys = F.expr(f"filter(transform(array({twos}), (x, j) -> if(x = X'0000', null, named_struct('key', xxhash64(key, j, x), 'two', j))), x -> x is not null)")
-    crowd = every.where(F.col("fewer") > CROWD).join(signatures, "doc_id").select(F.explode(keys).alias("_k"), "doc_id", "n_words", "root").select("_k.*", "doc_id", "n_words", "root")
-    rows = every.where(F.col("fewer") <= CROWD).unionByName(_with_majority(crowd).select(*every.columns))
+    of which meets the blocks of the others, and these meet each other. A bucket of more than
+    a block is dealt by lengths first: a document stands in its own band and in the next, so any
+    two of like length meet. Documents of such parts with more than CROWD of the others meet by
+    their rarest words, and under words that are as crowded by TWOS of the signature; neither
+    loses a link."""
+    alone = [F.lit(-1).alias("two"), F.lit(True).alias("own")]
+    every = _with_majority(active.select("key", "doc_id", "n_words", "root", *alone))
+    large = F.col("fewer") > min(BLOCK, CROWD)
+    bands = F.array(*[F.struct((_band() + up).alias("band"), F.lit(not up).alias("own")) for up in (0, 1)])
+    banded = every.where(large).select("key", "doc_id", "n_words", "root", "two", F.explode(bands).alias("_b"))
+    banded = _with_majority(banded.select(F.xxhash64("key", "_b.band").alias("key"), "doc_id", "n_words", "root", "two", "_b.own"))
+    banded = materialize(banded.select(*every.columns), "near-banded")
+    rows = every.where(~large).unionByName(banded.where(F.col("fewer") <= CROWD))
+    crowd = banded.where(F.col("fewer") > CROWD)
+    if not crowd.isEmpty():
+        rare = _by_rare_words(crowd.select("doc_id", "root").distinct(), texts)
+        rare = _with_majority(rare.select("*", *alone)).select(*every.columns)
+        byte = lambda i: f"substring(signature, {i + 1}, 1)"
+        twos = ", ".join(f"concat({byte(i)}, {byte(j)})" for i, j in TWOS)
+        keys = F.expr(f"filter(transform(array({twos}), (x, j) -> if(x = X'0000', null, named_struct('key', xxhash64(key, j, x), 'two', j))), x -> x is not null)")
+        crowd = rare.where(F.col("fewer") > CROWD)
+        if not crowd.isEmpty():
+            crowd = crowd.join(signatures, "doc_id").select(F.explode(keys).alias("_k"), "doc_id", "n_words", "root", "own").select("_k.*", "doc_id", "n_words", "root", "own")
+            rows = rows.unionByName(_with_majority(crowd).select(*every.columns))
+        rows = rows.unionByName(rare.where(F.col("fewer") <= CROWD))
     rows = rows.join(signatures, "doc_id")
     hashed, zero = F.xxhash64("doc_id"), F.lit(0).cast("bigint")
     of_most, of_fewer = F.ceil(F.col("most") / BLOCK), F.ceil(F.col("fewer") / BLOCK)
@@ -407,7 +500,7 @@ def _all_pairs(active: DataFrame, signatures: DataFrame) -> DataFrame:
     rows = rows.withColumn("_o", F.explode(F.when(is_top, F.sequence(zero, of_fewer - 1)).otherwise(F.concat(F.sequence(zero, of_fewer - 1), below))))
     i = F.when(is_top, F.col("_o")).when(F.col("_o") < 0, F.col("block")).otherwise(F.least("block", "_o"))
     j = F.when(is_top, F.col("block")).when(F.col("_o") < 0, F.col("_o")).otherwise(F.greatest("block", "_o"))
-    rows = rows.select("key", i.alias("i"), j.alias("j"), "block", "doc_id", "n_words", "root", "two", "signature")
+    rows = rows.select("key", i.alias("i"), j.alias("j"), "block", "doc_id", "n_words", "root", "two", "own", "signature")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_pair_off, "doc_id long, leader long")
 
@@ -426,7 +519,6 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = materialize(rows.join(_few(wanted), "doc_id", "left_semi"), "near-texts")
     drop_table(wanted)
     done = nodes.sparkSession.createDataFrame([], "doc_id long, leader long, ok boolean")
-    band = F.floor(F.log("n_words") / F.log(F.lit(1 / THRESHOLD)))
 
     def meet(pairs: DataFrame, signed: bool) -> DataFrame:
         pairs = pairs.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("leader")).distinct()
@@ -441,7 +533,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     for leaders in LEADERS:
         # two documents of like length have one of their two bands in common
-        crowd = active.where(F.col("n") > (0 if leaders == 1 else 16 * leaders)).withColumn("_band", F.explode(F.array(band, band + 1)))
+        crowd = active.where(F.col("n") > (0 if leaders == 1 else 16 * leaders)).withColumn("_band", F.explode(F.array(_band(), _band() + 1)))
         if crowd.isEmpty():
             break
         part = F.pmod(F.hash("doc_id"), F.lit(leaders))
@@ -452,7 +544,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         before, active = active, _apart(active.drop("n"), components(linked()))
         drop_table(before)
     if not active.isEmpty():
-        done = meet(_all_pairs(active, signatures), True)
+        done = meet(_all_pairs(active, signatures, texts), True)
     drop_table(active)
     drop_table(texts)
     return linked().distinct()

@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -692,6 +693,60 @@ def test_near_crowds(spark, monkeypatch):
     assert linked(spark, texts, [[1]] * len(texts)) == {(2 * k, 2 * k + 1) for k in range(40)}
 
 
+def test_near_crowds_are_dealt_into_few_rows(spark, monkeypatch):
+    """A passage in common does not make rows for every two bytes of every signature."""
+    monkeypatch.setattr(near, "CROWD", 30)
+    rng = random.Random(4)
+    shared = [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(50):
+        one = shared + [f"k{k}x{i}" for i in range(60)]
+        texts += [" ".join(one), " ".join(edited(one, set(rng.sample(range(40, 100), 15))))]
+    texts += [" ".join(shared + [f"s{k}x{i}" for i in range(60)]) for k in range(50)]
+    made, every, pair_off = [], near._all_pairs, near._pair_off
+
+    def each_row(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_id")], ["doc_id", "leader"])
+
+    def counted(*args):
+        monkeypatch.setattr(near, "_pair_off", each_row)
+        made.append(every(*args).count())
+        monkeypatch.setattr(near, "_pair_off", pair_off)
+        return every(*args)
+
+    monkeypatch.setattr(near, "_all_pairs", counted)
+    assert linked(spark, texts, [[1]] * len(texts)) == {(2 * k, 2 * k + 1) for k in range(50)}
+    assert 0 < made[0] <= 21 * len(texts), made
+
+
+def test_near_lengths_in_two_bands(spark, monkeypatch):
+    """Pairs of unlike lengths in a bucket of several blocks, which goes by bands of length."""
+    monkeypatch.setattr(near, "BLOCK", 4)
+    rng = random.Random(2)
+    texts = []
+    for k in range(40):
+        one = [f"k{k}x{i}" for i in range(60 + 3 * k)]
+        texts += [" ".join(one), " ".join(w for i, w in enumerate(one) if i >= len(one) // (5 + k % 3))]
+    texts += [" ".join(f"s{k}x{i}" for i in range(rng.randint(50, 180))) for k in range(40)]
+    assert linked(spark, texts, [[1]] * len(texts)) == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
+def test_near_similar_texts_share_a_rare_word():
+    rng = random.Random(6)
+    for n in range(600):
+        one = [f"w{rng.randint(0, rng.choice([3, 30, 3000]))}" for _ in range(rng.randint(4, 120))]
+        two = list(one)
+        for _ in range(rng.randint(0, len(one) // 5 + 1)):
+            at = rng.randrange(len(two))
+            two[at : at + 1] = rng.choice([["z"], [], [two[at], f"y{rng.randint(0, 9)}"]])
+        frequency = np.random.default_rng(n).integers(0, 5, near.SLOTS)
+        a, b = (near.rarest(words.word_hashes(" ".join(t)), frequency) for t in (one, two))
+        assert len(a) == int(0.2 * len(one) + 1e-9) + 1
+        if near.similar_words(one, two):
+            assert np.isin(a, b).any()
+
+
 def test_near_crowds_give_the_same_links(spark, monkeypatch):
     """Similar texts whose signatures agree in scattered bytes only, in a bucket of either size."""
     rng = random.Random(8)
