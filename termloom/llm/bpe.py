@@ -191,13 +191,13 @@ class TextEncoder(Cache):
         super().__init__(self.BYTES[0], 180)
         self.vocabulary = vocabulary
         self.words = Words(self.BYTES[1], self.encode_word)
+        self.added = {text: struct.pack("<I", i) for text, i in vocabulary.added.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")")
         self.unletter = {ord(c): b for b, c in enumerate(byte_letters())}
 
     def __missing__(self, chunk: str) -> bytes:
-        added = self.vocabulary.added
         parts = self.marks.split(chunk) if "<|" in chunk else [chunk]
-        out = b"".join(struct.pack("<I", added[p]) if p in added else self._plain(p) for p in parts if p)
+        out = b"".join(self.added.get(p) or self._plain(p) for p in parts if p)
         self.keep(chunk, out, len(chunk) + len(out))
         return out
 

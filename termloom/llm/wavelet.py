@@ -12,6 +12,7 @@ questions from the files; only the shards that a question falls on are read for
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder, Vocabulary, byte_letters
+from .bpe import TextEncoder, Vocabulary, Words, byte_letters
 from .common import blocks, enter, on_leaving, shared_dir, ship_code, whole_text
 
 BLOCK_BITS = 512
@@ -55,7 +56,7 @@ class WaveletMatrix:
             per_block = np.bitwise_count(padded.view("<u8")).reshape(-1, 8).sum(axis=1, dtype=np.int64)
             ranks.append(np.r_[0, np.cumsum(per_block)].astype("<u4").tobytes())
             planes.append(packed.tobytes())
-            low, high = ids[~ones], ids[ones]
+            low, high = np.compress(~ones, ids), np.compress(ones, ids)  # by places, faster than by a mask
             zeros.append(len(low))
             ids = np.concatenate([low, high])
         return WaveletMatrix(len(ids), zeros, planes, ranks)
@@ -67,8 +68,8 @@ class WaveletMatrix:
             ones = np.unpackbits(self.planes[at], count=self.n).view(bool)
             bit = ids.dtype.type(1 << (len(self.planes) - 1 - at))
             before = np.empty_like(ids)
-            before[~ones] = ids[: self.zeros[at]]
-            before[ones] = ids[self.zeros[at] :] | bit
+            before[np.flatnonzero(~ones)] = ids[: self.zeros[at]]
+            before[np.flatnonzero(ones)] = ids[self.zeros[at] :] | bit
             ids = before
         return ids
 
@@ -123,32 +124,53 @@ class WaveletMatrix:
         return at + int(np.flatnonzero(bits == one)[number - counts[block]])
 
 
+class PackedWords(Words):
+    """Words whose ids ``encode`` gives packed."""
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.encode(word)
+        self.keep(word, packed, len(word) + len(packed))
+        return packed
+
+
 class LibraryEncoder(TextEncoder):
-    """As ``TextEncoder``, with the library's own merging of each word."""
+    """As ``TextEncoder``, with the library's own merging of each word and ids of ``width`` bytes."""
 
     BYTES = (30_000_000, 110_000_000)
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, width: int):
         super().__init__(vocabulary)
         self.letters = dict(enumerate(byte_letters()))
+        self.packed = [i.to_bytes(width, "little") for i in range(len(vocabulary.content))]
+        self.added = {text: self.packed[i] for text, i in vocabulary.added.items()}
+        self.words = PackedWords(self.BYTES[1], self.encode_word)
+        self.tokenize = vocabulary.library.model.tokenize
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> bytes:
         written = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.vocabulary.library.model.tokenize(written)]
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(written)])
 
 
-_encoders: dict[str, LibraryEncoder] = {}
+_encoders: dict[tuple[str, int], LibraryEncoder] = {}
 
 
-def _encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(Vocabulary(path))
-    return _encoders[path]
+def _encoder(path: str, width: int = 4) -> LibraryEncoder:
+    if (path, width) not in _encoders:
+        _encoders[path, width] = LibraryEncoder(Vocabulary(path), width)
+    return _encoders[path, width]
 
 
 on_leaving("wavelet", _encoders.clear)
 
 
+def last_id(path: str) -> int:
+    """The largest id of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+
+
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes every row, adds ``end_id`` and writes one file a shard.
 
@@ -166,19 +188,20 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, shard_tokens
         .select("doc_id", "text", F.spark_partition_id().alias("task"))
     )
 
+    bits = max(end_id, last_id(vocabulary)).bit_length()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("wavelet")
-        encoder = _encoder(vocabulary)
-        end = int(end_id).to_bytes(4, "little")
-        bits = max(end_id, len(encoder.vocabulary.content) - 1).bit_length()
-        kind = np.uint16 if bits <= 16 else np.uint32
+        kind = np.dtype("<u2" if bits <= 16 else "<u4")
+        encoder = _encoder(vocabulary, kind.itemsize)
+        end = int(end_id).to_bytes(kind.itemsize, "little")
         shard, size = None, 0
         doc_ids: list[int | None] = []
         counts: list[int] = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
 
         def made() -> pa.RecordBatch:
-            m = WaveletMatrix.build(np.concatenate(parts), bits)
+            m = WaveletMatrix.build(np.frombuffer(b"".join(parts), kind), bits)
             row = {
                 "shard": shard, "doc_ids": doc_ids, "doc_tokens": counts, "n_tokens": m.n, "zeros": m.zeros,
                 "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks],
@@ -192,10 +215,10 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, shard_tokens
                     shard, size, doc_ids, counts, parts = shard + 1, 0, [], [], []
                 if shard is None:
                     shard = task * _SHARDS_A_TASK
-                packed = encoder.encode(text.as_py()) + end
+                packed = encoder.encode(text.as_py())
                 doc_ids.append(doc_id)
-                counts.append(len(packed) // 4)
-                parts.append(np.frombuffer(packed, "<u4").astype(kind))
+                counts.append(len(packed) // kind.itemsize + 1)
+                parts += packed, end
                 size += counts[-1]
         if parts:
             yield made()
