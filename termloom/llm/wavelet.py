@@ -13,9 +13,10 @@ questions from the files; only the shards that a question falls on are read for
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,15 @@ from .bpe import TextEncoder, Vocabulary, Words, byte_letters
 from .common import blocks, enter, on_leaving, shared_dir, ship_code, whole_text
 
 BLOCK_BITS = 512
+#: Ids that are dealt into zeros and ones at once; what that takes stays in a processor's cache.
+PART = 1 << 15
 #: Ids after which a shard ends with the document; they and their planes fit in a task.
 SHARD_TOKENS = 8_000_000
 #: Shards that one task of a range of documents may write.
 _SHARDS_A_TASK = 1 << 20
+#: Bytes of texts whose words are found at once; a longer text is cut at white space.
+STEP_BYTES = 16_000_000
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
 SCHEMA = (
     "shard long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, zeros array<long>, "
     "planes array<binary>, ranks array<binary>"
@@ -48,29 +54,41 @@ class WaveletMatrix:
     @staticmethod
     def build(ids: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, ranks = [], [], []
+        after, high = np.empty_like(ids), np.empty_like(ids)
         for b in reversed(range(bits)):
-            ones = (ids & ids.dtype.type(1 << b)) != 0
-            packed = np.packbits(ones)
-            padded = np.zeros(-(-len(packed) // 64) * 64, np.uint8)
-            padded[: len(packed)] = packed
+            padded = np.zeros(-(-len(ids) // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
+            low = up = 0
+            for at in range(0, len(ids), PART):
+                part = ids[at : at + PART]
+                ones = (part & ids.dtype.type(1 << b)) != 0
+                packed = np.packbits(ones)
+                padded[at // 8 : at // 8 + len(packed)] = packed
+                first, second = np.compress(~ones, part), np.compress(ones, part)  # by places, faster than by a mask
+                after[low : low + len(first)], high[up : up + len(second)] = first, second
+                low, up = low + len(first), up + len(second)
             per_block = np.bitwise_count(padded.view("<u8")).reshape(-1, 8).sum(axis=1, dtype=np.int64)
             ranks.append(np.r_[0, np.cumsum(per_block)].astype("<u4").tobytes())
-            planes.append(packed.tobytes())
-            low, high = np.compress(~ones, ids), np.compress(ones, ids)  # by places, faster than by a mask
-            zeros.append(len(low))
-            ids = np.concatenate([low, high])
+            planes.append(padded[: -(-len(ids) // 8)].tobytes())
+            zeros.append(low)
+            after[low:] = high[:up]
+            ids, after = after, ids if b < bits - 1 else np.empty_like(ids)  # what was given stays
         return WaveletMatrix(len(ids), zeros, planes, ranks)
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up, undoing one partition a plane."""
         ids = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        before = np.empty_like(ids)
         for at in reversed(range(len(self.planes))):
-            ones = np.unpackbits(self.planes[at], count=self.n).view(bool)
             bit = ids.dtype.type(1 << (len(self.planes) - 1 - at))
-            before = np.empty_like(ids)
-            before[np.flatnonzero(~ones)] = ids[: self.zeros[at]]
-            before[np.flatnonzero(ones)] = ids[self.zeros[at] :] | bit
-            ids = before
+            low, up = 0, self.zeros[at]
+            for start in range(0, self.n, PART):
+                part = before[start : start + PART]
+                ones = np.unpackbits(self.planes[at][start // 8 : (start + PART) // 8], count=len(part)).view(bool)
+                first, second = np.flatnonzero(~ones), np.flatnonzero(ones)
+                part[first] = ids[low : low + len(first)]
+                part[second] = ids[up : up + len(second)] | bit
+                low, up = low + len(first), up + len(second)
+            ids, before = before, ids
         return ids
 
     def _ones(self, plane: int, place: int) -> int:
@@ -127,16 +145,42 @@ class WaveletMatrix:
 class PackedWords(Words):
     """Words whose ids ``encode`` gives packed."""
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str | bytes) -> bytes:
         packed = self.encode(word)
         self.keep(word, packed, len(word) + len(packed))
         return packed
 
 
+def _kinds() -> np.ndarray:
+    """Of each byte: space, letter, number or other; those above 0x7F as letters."""
+    out = np.full(256, OTHER, np.uint8)
+    out[[0x20, *range(0x09, 0x0E)]] = SPACE
+    out[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+    out[0x30:0x3A] = NUMBER
+    return out
+
+
+SPACE, LETTER, NUMBER, OTHER = range(4)
+KINDS = _kinds()
+
+
 class LibraryEncoder(TextEncoder):
-    """As ``TextEncoder``, with the library's own merging of each word and ids of ``width`` bytes."""
+    """As ``TextEncoder``, with the library's own merging of each word and ids of ``width`` bytes.
 
-    BYTES = (30_000_000, 110_000_000)
+    Texts are cut into words some megabytes at a time: in UTF-8, words end where the kind of
+    the bytes changes. Of a step each different word is looked up once. Texts with characters
+    of which the bytes do not tell the kind go one by one.
+    """
+
+    BYTES = (10_000_000, 20_000_000)
+    #: Bytes of the words of plain texts that a worker keeps.
+    PIECE_BYTES = 110_000_000
+    #: From U+023A on, some small letters lie beyond the characters that go at once.
+    LAST = "\u0239"
+    #: Bytes of plain texts, ASCII and letters from U+00C0 to U+01FF, and what is not plain all the
+    #: same: added tokens, two signs, and U+0130, whose small form has two characters.
+    PLAIN = bytes([*range(0x80, 0xC0), *range(0xC3, 0xC8), *range(0x80)])
+    ODD = (b"<|", "\xd7".encode(), "\xf7".encode(), "\u0130".encode())
 
     def __init__(self, vocabulary: Vocabulary, width: int):
         super().__init__(vocabulary)
@@ -144,6 +188,8 @@ class LibraryEncoder(TextEncoder):
         self.packed = [i.to_bytes(width, "little") for i in range(len(vocabulary.content))]
         self.added = {text: self.packed[i] for text, i in vocabulary.added.items()}
         self.words = PackedWords(self.BYTES[1], self.encode_word)
+        self.pieces = PackedWords(self.PIECE_BYTES, self.encode_piece)
+        self.width = width
         self.tokenize = vocabulary.library.model.tokenize
 
     def encode_word(self, word: str) -> bytes:
@@ -151,6 +197,62 @@ class LibraryEncoder(TextEncoder):
         packed = self.packed
         return b"".join([packed[t.id] for t in self.tokenize(written)])
 
+    def encode_piece(self, piece: bytes) -> bytes:
+        return b"" if piece.isspace() else self.encode_word(piece.decode().lower())
+
+    def encode_each(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """The packed ids of each text."""
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text) > STEP_BYTES:
+                yield from self._step(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        if held:
+            yield from self._step(held)
+
+    def _step(self, texts: list[bytes]) -> Iterator[bytes]:
+        odd = {at for at, t in enumerate(texts) if any(x in t for x in self.ODD) or not t.isascii() and t.translate(None, self.PLAIN)}
+        if len(texts) == 1 and len(texts[0]) > 2 * STEP_BYTES and not odd:
+            cuts = [0]
+            while border := SPACES.search(texts[0], cuts[-1] + STEP_BYTES):
+                cuts.append(border.start())
+            yield b"".join([p for a, b in zip(cuts, [*cuts[1:], None], strict=True) for p in self._plain_step([texts[0][a:b]])])
+            return
+        plain = self._plain_step([b"" if at in odd else t for at, t in enumerate(texts)])
+        for at, packed in enumerate(plain):
+            yield self.encode(texts[at].decode()) if at in odd else packed
+
+    def _plain_step(self, texts: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+        kind = KINDS[data]
+        edge = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)]
+        # an apostrophe alone takes some letters after it along
+        at = np.flatnonzero(data == ord("'"))
+        at = at[edge[at] & edge[at + 1] & (kind[at + 1] == LETTER)]
+        first, second = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+        two = (second == ord("e")) & ((first == ord("r")) | (first == ord("v"))) | (first == ord("l")) & (second == ord("l"))
+        size = np.isin(first, np.frombuffer(b"stmd", np.uint8)) + 2 * two
+        at, size = at[size > 0], size[size > 0]
+        edge[at + 1] = False
+        edge[at + 1 + size] = True
+        starts = np.r_[np.flatnonzero(edge), len(data)].astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        of = words.indices.to_numpy()
+        packed = list(map(self.pieces.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+        ids = np.frombuffer(b"".join(packed), np.dtype(f"<u{self.width}"))
+        each = np.fromiter(map(len, packed), np.int32, len(packed)) // np.int32(self.width)
+        count = each[of]
+        ends = np.zeros(len(starts), np.int32)
+        np.cumsum(count, out=ends[1:])
+        take = np.repeat((np.cumsum(each, dtype=np.int32) - each)[of] - ends[:-1], count)
+        take += np.arange(len(take), dtype=np.int32)
+        out = ids[take]
+        firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = ends[np.searchsorted(starts, firsts.astype(np.int32))].tolist()  # white space, without ids, stands across a border
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 _encoders: dict[tuple[str, int], LibraryEncoder] = {}
 
@@ -209,13 +311,13 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int, shard_tokens
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
         for batch in batches:
-            for doc_id, text, task in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
+            for doc_id, packed, task in zip(batch.column(0).to_pylist(), encoder.encode_each(texts), batch.column(2).to_pylist(), strict=True):
                 if size >= shard_tokens:
                     yield made()
                     shard, size, doc_ids, counts, parts = shard + 1, 0, [], [], []
                 if shard is None:
                     shard = task * _SHARDS_A_TASK
-                packed = encoder.encode(text.as_py())
                 doc_ids.append(doc_id)
                 counts.append(len(packed) // kind.itemsize + 1)
                 parts += packed, end

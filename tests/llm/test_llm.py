@@ -822,3 +822,36 @@ def test_near_one_component_and_others(spark):
     assert {roots[i] for i in range(601)} == {0}
     assert all(roots[601 + 2 * k] == roots[602 + 2 * k] == 601 + 2 * k for k in range(20))
     assert all(near.similar(texts[a], texts[b]) for a, b in found)
+
+
+def test_wavelet_steps_equal_the_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(5)
+    bits = "' 's 'S 're 'RE 've 'll 'lL 'd 'm 't '' a B é É ß ÿ Ÿ × ÷ Ⱥ Ⱦ ȿ ɐ İ ı ſ ŉ ² ½ 1 23 ( — « <| |> <|endoftext|> <|ENDOFTEXT|> _ H̱ 日本 ț word l e r s Σ".split(" ")
+    bits += [" ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "　", "́", "\x00", "\x7f"]
+    some = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    some.append(" ".join(rng.choice(["one", "don't", "Été,", "x1"]) for _ in range(3000)))
+    wanted = [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+    encoder = wavelet.LibraryEncoder(bpe.Vocabulary(path), 2)
+    looked_up = []
+    encode = encoder.pieces.encode
+    encoder.pieces.encode = lambda piece: looked_up.append(piece) or encode(piece)
+    for size in (wavelet.STEP_BYTES, 1000):  # the last text is cut at white space
+        monkeypatch.setattr(wavelet, "STEP_BYTES", size)
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_each(t.encode() for t in some)] == wanted
+    assert len(looked_up) == len(set(looked_up))
+    assert list(encoder.encode_each([])) == []
+
+
+def test_wavelet_planes_in_parts(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 49408, 5000).astype("<u2")
+    given = ids.copy()
+    whole = wavelet.WaveletMatrix.build(ids, 16)
+    for part in (8, 512, 1024):
+        monkeypatch.setattr(wavelet, "PART", part)
+        cut = wavelet.WaveletMatrix.build(ids, 16)
+        assert cut.zeros == whole.zeros and all((a == b).all() for a, b in zip(cut.planes + cut.ranks, whole.planes + whole.ranks, strict=True))
+        assert (cut.decode() == given).all() and (ids == given).all()
