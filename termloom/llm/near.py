@@ -65,6 +65,10 @@ AGREE = 0.5
 #: no more, both kinds take turns all around; but then the first byte agrees with the third, or
 #: the second with the fourth.
 TWOS = [*((i, (i + 1) % BINS) for i in range(BINS)), (0, 2), (1, 3)]
+#: Parts whose words are counted, which bounds the edits of two texts from below.
+TALLY = 256
+#: Comes before the key of any bucket.
+NO_KEY = -(1 << 63)
 
 on_leaving("near", forget_powers)
 
@@ -134,6 +138,35 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def tally(h: np.ndarray) -> bytes:
+    """How many words a hash deals into each of TALLY parts, 255 at most."""
+    part = mix(h * np.uint64(0x9FB21C651E98DF25)) % np.uint64(TALLY)
+    return np.minimum(np.bincount(part.astype(np.int64), minlength=TALLY), 255).astype(np.uint8).tobytes()
+
+
+def fits(x: np.ndarray, y: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Whether tallies, row by row, allow for a link: words that the other text lacks each
+    cost an edit, and parts hide some of these but make none."""
+    out = np.empty(len(x), bool)
+    for s in range(0, len(x), 20_000):
+        apart = x[s : s + 20_000].astype(np.int16) - y[s : s + 20_000]
+        more = np.maximum(apart, 0).sum(axis=1)
+        k = ((1 - THRESHOLD) * longest[s : s + 20_000] + 1e-9).astype(np.int64)
+        out[s : s + 20_000] = np.maximum(more, more - apart.sum(axis=1)) <= k
+    return out
+
+
+def share(of: np.ndarray, keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows x and y, pair by pair, have a key in common; ``keys[i]`` is one of row ``of[i]``."""
+    _, number, times = np.unique(keys, return_inverse=True, return_counts=True)
+    often = times > 1
+    held = np.zeros((int(max(x.max(), y.max())) + 1, int(often.sum())), bool)
+    ours = often[number] & (of < len(held))
+    held[of[ours], (np.cumsum(often) - 1)[number[ours]]] = True
+    held = np.packbits(held, axis=1)
+    return np.concatenate([(held[x[s : s + 20_000]] & held[y[s : s + 20_000]]).any(axis=1) for s in range(0, len(x), 20_000)])
+
+
 def edits_within(a: list, b: list, k: int) -> bool:
     """Whether at most k insertions, deletions and substitutions turn a into b; only the
     diagonals -k to k are visited. Few edits are looked for along the diagonals first,
@@ -253,8 +286,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, print binary, n_words long, sketches array<long>, signature binary")
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int = BINS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -347,7 +380,9 @@ def first_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each group ``(key, i, j)`` that may be links; rows come sorted by group."""
+    """Pairs of each group ``(key, i, j)`` that may be links; rows come sorted by group. A pair
+    with several buckets in common comes out of the one with the smallest key, ``base``; rows
+    have the ``keys`` below that."""
     enter("near")
     held = None
     names = ["key", "i", "j"]
@@ -356,7 +391,11 @@ def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [rows[c].to_numpy() for c in names]
         block, ids, words, roots = (rows[c].to_numpy() for c in ("block", "doc_id", "n_words", "root"))
         signatures, two = _matrix(rows["signature"]), rows["two"].to_numpy()
-        own = rows["own"].to_numpy()
+        own, base = rows["own"].to_numpy(), rows["base"].to_numpy()
+        tallies, known = _matrix(rows["tally"].fill_null(bytes(TALLY)), TALLY), rows["tally"].is_valid().to_numpy()
+        lists = rows["keys"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        buckets, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
         new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         xs, ys = [], []
         for lo, hi in zip([0, *new], [*new, len(ids)], strict=True):
@@ -373,6 +412,12 @@ def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if two[lo] >= 0 and len(x):  # a pair comes out where it first meets
                 once = first_two(signatures[lo:hi][x], signatures[lo:hi][y]) == two[lo]
                 x, y = x[once], y[once]
+            if base[lo] != NO_KEY and len(x):
+                once = ~share(np.repeat(at, sizes[lo:hi]), buckets[ends[lo] : ends[hi]], x, y)
+                x, y = x[once], y[once]
+            good = fits(tallies[lo:hi][x], tallies[lo:hi][y], np.maximum(words[lo:hi][x], words[lo:hi][y]))
+            good |= ~(known[lo:hi][x] & known[lo:hi][y])
+            x, y = x[good], y[good]
             xs.append(ids[lo:hi][x])
             ys.append(ids[lo:hi][y])
         x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (xs, ys))
@@ -391,13 +436,20 @@ def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
-def _with_majority(rows: DataFrame) -> DataFrame:
-    """Adds to the rows of buckets with several components the largest one, ``top``, and how
-    many documents it and all others have; the rest go."""
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
-    top = sizes.agg(F.max(F.struct("c", "root")).alias("t"), F.sum("c").alias("all"))
-    top = top.select("key", F.col("t.root").alias("top"), F.col("t.c").alias("most"), (F.col("all") - F.col("t.c")).alias("fewer"))
-    return rows.join(top.where("fewer > 0"), "key")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Adds to the rows of buckets with several components which are ``free`` of being paired
+    with each other, how many these are (``most``) and how many all others (``fewer``); the
+    rest go. Free are the largest component or, where there are more, the documents that are
+    not in their own band, since these meet in that."""
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum((~F.col("own")).cast("long")).alias("s")).groupBy("key")
+    top = sizes.agg(F.max(F.struct("c", "root")).alias("t"), F.sum("c").alias("all"), F.sum("s").alias("strange"))
+    top = top.where("all > t.c and all > strange").select(
+        "key",
+        F.when(F.col("t.c") >= F.col("strange"), F.col("t.root")).alias("_top"),
+        F.greatest("t.c", "strange").alias("most"),
+        (F.col("all") - F.greatest("t.c", "strange")).alias("fewer"),
+    )
+    return rows.join(top, "key").select(*rows.columns, F.coalesce(F.col("root") == F.col("_top"), ~F.col("own")).alias("free"), "most", "fewer")
 
 
 def rarest(h: np.ndarray, frequency: np.ndarray) -> np.ndarray:
@@ -463,6 +515,21 @@ def _by_rare_words(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     return rows
 
 
+def _marks(rows: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(doc_id, signature, keys, tally)`` of the documents in ``rows``: ``keys`` are those of
+    their buckets there; the tally is null for an id with several texts, any of which may be similar."""
+    held = rows.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tally(h) for h in _each(batch.column(1))], pa.binary())], ["doc_id", "tally"])
+
+    counted = texts.join(_few(rows.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, tally binary")
+    counted = counted.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("tally")).alias("tally"))
+    return held.join(signatures, "doc_id").join(counted, "doc_id", "left").select("doc_id", "signature", "keys", "tally")
+
+
 def _all_pairs(active: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
     """``(doc_id, leader)``: all pairs in a bucket that may be links. Most rows of a large
     bucket are of one component, which is not paired with itself: it goes in blocks, each
@@ -472,41 +539,51 @@ def _all_pairs(active: DataFrame, signatures: DataFrame, texts: DataFrame) -> Da
     their rarest words, and under words that are as crowded by TWOS of the signature; neither
     loses a link."""
     alone = [F.lit(-1).alias("two"), F.lit(True).alias("own")]
-    every = _with_majority(active.select("key", "doc_id", "n_words", "root", *alone))
+    every = _dealt(active.select("key", "doc_id", "n_words", "root", *alone, F.col("key").alias("base")))
+    marks = materialize(_marks(every, signatures, texts), "near-marks")
     large = F.col("fewer") > min(BLOCK, CROWD)
     bands = F.array(*[F.struct((_band() + up).alias("band"), F.lit(not up).alias("own")) for up in (0, 1)])
-    banded = every.where(large).select("key", "doc_id", "n_words", "root", "two", F.explode(bands).alias("_b"))
-    banded = _with_majority(banded.select(F.xxhash64("key", "_b.band").alias("key"), "doc_id", "n_words", "root", "two", "_b.own"))
-    banded = materialize(banded.select(*every.columns), "near-banded")
+    banded = every.where(large).select("key", "doc_id", "n_words", "root", "two", "base", F.explode(bands).alias("_b"))
+    banded = banded.select(F.xxhash64("key", "_b.band").alias("key"), "doc_id", "n_words", "root", "two", "_b.own", "base")
+    twice = materialize(banded, "near-bands")  # read twice
+    banded = materialize(_dealt(twice), "near-banded")
+    drop_table(twice)
     rows = every.where(~large).unionByName(banded.where(F.col("fewer") <= CROWD))
     crowd = banded.where(F.col("fewer") > CROWD)
     if not crowd.isEmpty():
         rare = _by_rare_words(crowd.select("doc_id", "root").distinct(), texts)
-        rare = _with_majority(rare.select("*", *alone)).select(*every.columns)
+        rare = _dealt(rare.select("key", "doc_id", "n_words", "root", *alone, F.lit(NO_KEY).alias("base")))
         byte = lambda i: f"substring(signature, {i + 1}, 1)"
         twos = ", ".join(f"concat({byte(i)}, {byte(j)})" for i, j in TWOS)
         keys = F.expr(f"filter(transform(array({twos}), (x, j) -> if(x = X'0000', null, named_struct('key', xxhash64(key, j, x), 'two', j))), x -> x is not null)")
         crowd = rare.where(F.col("fewer") > CROWD)
         if not crowd.isEmpty():
-            crowd = crowd.join(signatures, "doc_id").select(F.explode(keys).alias("_k"), "doc_id", "n_words", "root", "own").select("_k.*", "doc_id", "n_words", "root", "own")
-            rows = rows.unionByName(_with_majority(crowd).select(*every.columns))
+            crowd = crowd.join(signatures, "doc_id").select(F.explode(keys).alias("_k"), "doc_id", "n_words", "root", "own", "base")
+            crowd = crowd.select("_k.key", "doc_id", "n_words", "root", "_k.two", "own", "base")
+            rows = rows.unionByName(_dealt(crowd))
         rows = rows.unionByName(rare.where(F.col("fewer") <= CROWD))
-    rows = rows.join(signatures, "doc_id")
+    rows = rows.join(marks, "doc_id")
     hashed, zero = F.xxhash64("doc_id"), F.lit(0).cast("bigint")
     of_most, of_fewer = F.ceil(F.col("most") / BLOCK), F.ceil(F.col("fewer") / BLOCK)
-    is_top = F.col("root") == F.col("top")
-    below = F.transform(F.sequence(zero, of_most - 1), lambda x: -1 - x)  # numbers of the component's blocks
-    rows = rows.withColumn("block", F.when(is_top, -1 - F.pmod(hashed, of_most)).otherwise(F.pmod(hashed, of_fewer)))
-    rows = rows.withColumn("_o", F.explode(F.when(is_top, F.sequence(zero, of_fewer - 1)).otherwise(F.concat(F.sequence(zero, of_fewer - 1), below))))
-    i = F.when(is_top, F.col("_o")).when(F.col("_o") < 0, F.col("block")).otherwise(F.least("block", "_o"))
-    j = F.when(is_top, F.col("block")).when(F.col("_o") < 0, F.col("_o")).otherwise(F.greatest("block", "_o"))
-    rows = rows.select("key", i.alias("i"), j.alias("j"), "block", "doc_id", "n_words", "root", "two", "own", "signature")
+    free = F.col("free")
+    below = F.transform(F.sequence(zero, of_most - 1), lambda x: -1 - x)  # numbers of the free ones' blocks
+    rows = rows.withColumn("block", F.when(free, -1 - F.pmod(hashed, of_most)).otherwise(F.pmod(hashed, of_fewer)))
+    rows = rows.withColumn("_o", F.explode(F.when(free, F.sequence(zero, of_fewer - 1)).otherwise(F.concat(F.sequence(zero, of_fewer - 1), below))))
+    i = F.when(free, F.col("_o")).when(F.col("_o") < 0, F.col("block")).otherwise(F.least("block", "_o"))
+    j = F.when(free, F.col("block")).when(F.col("_o") < 0, F.col("_o")).otherwise(F.greatest("block", "_o"))
+    rows = rows.select("key", i.alias("i"), j.alias("j"), "block", "doc_id", "n_words", "root", "two", "own", "base", "signature", F.filter("keys", lambda k: k < F.col("base")).alias("keys"), "tally")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_pair_off, "doc_id long, leader long")
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links ``(a, b)`` between nodes ``(doc_id, n_words, sketches, signature)``.
+    """All verified links ``(a, b)`` of ``search``."""
+    return search(nodes, docs)[0]
+
+
+def search(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``(a, b)`` between nodes ``(doc_id, n_words, sketches, signature)``, and
+    fewer edges that make the same components: of what a step has joined, each node's with its root.
 
     Each pair of a bucket is compared, can't be a link by its lengths or (but for a chance
     of about 0.0003 at the threshold) by its signatures, or is in one component already.
@@ -520,16 +597,18 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     drop_table(wanted)
     done = nodes.sparkSession.createDataFrame([], "doc_id long, leader long, ok boolean")
 
-    def meet(pairs: DataFrame, signed: bool) -> DataFrame:
+    edges = done.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+
+    def meet(pairs: DataFrame, signed: bool) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("leader")).distinct()
         pairs = pairs if signed else likely(pairs, signatures)
         pairs = materialize(pairs.join(done, ["doc_id", "leader"], "left_anti"), "near-pairs")
         found = materialize(compare(pairs, texts), "near-found")
         drop_table(pairs)
-        return done.unionByName(found)
+        return done.unionByName(found), edges.unionByName(linked(found))
 
-    def linked() -> DataFrame:
-        return done.where("ok").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    def linked(found: DataFrame) -> DataFrame:
+        return found.where("ok").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
 
     for leaders in LEADERS:
         # two documents of like length have one of their two bands in common
@@ -540,14 +619,16 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         lead = crowd.groupBy("key", "_band", part.alias("_part")).agg(F.min(F.struct("doc_id", "n_words", "root")).alias("l"))
         lead = lead.select("key", "_band", F.col("l.doc_id").alias("leader"), F.col("l.n_words").alias("_m"), F.col("l.root").alias("_root"))
         near = F.least("n_words", "_m") >= THRESHOLD * F.greatest("n_words", "_m") - 1e-9
-        done = meet(crowd.join(lead, ["key", "_band"]).where(near & (F.col("root") != F.col("_root"))).select("doc_id", "leader"), False)
-        before, active = active, _apart(active.drop("n"), components(linked()))
+        done, edges = meet(crowd.join(lead, ["key", "_band"]).where(near & (F.col("root") != F.col("_root"))).select("doc_id", "leader"), False)
+        roots = components(edges)
+        edges = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        before, active = active, _apart(active.drop("n"), roots)
         drop_table(before)
     if not active.isEmpty():
-        done = meet(_all_pairs(active, signatures, texts), True)
+        done, edges = meet(_all_pairs(active, signatures, texts), True)
     drop_table(active)
     drop_table(texts)
-    return linked().distinct()
+    return linked(done).distinct(), edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -589,7 +670,7 @@ def classes(docs: DataFrame) -> DataFrame:
         "near-nodes",
     )
     same = nodes.select("print", F.col("doc_id").alias("first_id"))
-    roots = components(links(nodes, docs).unionByName(_repeated_ids(known)))
+    roots = components(search(nodes, docs)[1].unionByName(_repeated_ids(known)))
     placed = known.select("doc_id", "print").join(same, "print", "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
     return placed.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first_id")).alias("class_id")

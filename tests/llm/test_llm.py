@@ -855,3 +855,36 @@ def test_wavelet_planes_in_parts(monkeypatch):
         cut = wavelet.WaveletMatrix.build(ids, 16)
         assert cut.zeros == whole.zeros and all((a == b).all() for a, b in zip(cut.planes + cut.ranks, whole.planes + whole.ranks, strict=True))
         assert (cut.decode() == given).all() and (ids == given).all()
+
+
+def test_near_pairs_come_out_once(spark, monkeypatch):
+    """Texts just below the threshold that share many buckets: a pair comes out of one of them, and
+    not at all where the words that the other lacks are too many."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for k in range(30):
+        one = [f"n{k}x{i}" if i in places else w for places in [set(rng.sample(range(100), 16))] for i, w in enumerate(base)]
+        texts += [" ".join(one), " ".join(edited(one, set(rng.sample(range(100), 6))))]
+    wanted = {(a, b) for b in range(60) for a in range(b) if near.similar(texts[a], texts[b])}
+    assert wanted
+    nodes = spark.createDataFrame([(i, 100, near.signature(words.word_hashes(t))) for i, t in enumerate(texts)], "doc_id bigint, n_words bigint, signature binary")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    keys = [(k, i, 100, i) for i in range(60) for k in rng.sample(range(-6, 6), 9)]
+    met = {(a, b) for k in range(-6, 6) for ids in [sorted(i for x, i, _, _ in keys if x == k)] for n, b in enumerate(ids) for a in ids[:n]}
+    active = spark.createDataFrame(keys, "key bigint, doc_id bigint, n_words bigint, root bigint")
+    for block in (near.BLOCK, 8):
+        monkeypatch.setattr(near, "BLOCK", block)
+        found = [(r["leader"], r["doc_id"]) for r in near._all_pairs(active, nodes.select("doc_id", "signature"), frame).collect()]
+        assert len(found) == len(set(found)) < len(met) / 4
+        assert wanted & met <= set(found) <= met
+
+
+def test_near_fewer_edges_make_the_same_components(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(edited(base, set(rng.sample(range(100), 12)))) for _ in range(60)]
+    nodes = spark.createDataFrame([(i, 100, [1, 2], near.signature(words.word_hashes(t))) for i, t in enumerate(texts)], "doc_id bigint, n_words bigint, sketches array<bigint>, signature binary")
+    every, fewer = near.search(nodes, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    roots = [sorted(tuple(r) for r in near.components(e).collect()) for e in (every, fewer)]
+    assert roots[0] == roots[1] and fewer.count() <= every.count()
